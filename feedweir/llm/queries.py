@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import best_fit, chat_format, url_rules, warc
+from feedweir.llm import best_fit, chat_format, decontaminate, url_rules, warc
 from feedweir.llm.common import table, workers_import_here
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -39,7 +39,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-_QUERIES = {f.__name__: f for f in (op2_warc_writer, op6_chat_formatting, op7_best_fit_packing, op9_url_filter)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUERIES = {f.__name__: f for f in (op2_warc_writer, op6_chat_formatting, op7_best_fit_packing, op9_url_filter, op10_decontamination)}
 
 _ORACLES: dict[str, str] = {}
 
@@ -82,6 +86,26 @@ m as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m where nth = 1
 """
 
+_ORACLES["op10_decontamination"] = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as w from benchmark),
+m(mask) as (values ([0, 1, 3, 4, 7, 9]), ([0, 2, 3, 5, 8, 9])),
+dp as (select doc_id, w, unnest(range(0, len(w) - 9)) as pos from d),
+bp as (select item_id, w, unnest(range(0, len(w) - 9)) as pos from b),
+ds as (select doc_id, pos, mask, list_transform(mask, lambda k: w[pos + k + 1]) as seed from dp, m),
+bs as (select item_id, pos, mask, list_transform(mask, lambda k: w[pos + k + 1]) as seed from bp, m),
+hit as (select distinct ds.doc_id, bs.item_id, ds.pos - bs.pos as shift from ds join bs on ds.mask = bs.mask and ds.seed = bs.seed),
+tok as (
+  select h.doc_id, h.item_id, h.shift, len(b.w) as n, j, case when d.w[h.shift + j + 1] = b.w[j + 1] then 1 else -2 end as point
+  from hit h join d on d.doc_id = h.doc_id join b on b.item_id = h.item_id, unnest(range(0, len(b.w))) as u(j)
+  where h.shift + j >= 0 and h.shift + j < len(d.w)),
+run as (select *, sum(point) over (partition by doc_id, item_id, shift order by j) as total from tok),
+low as (select *, least(0, coalesce(min(total) over (partition by doc_id, item_id, shift order by j rows between unbounded preceding and 1 preceding), 0)) as floor from run),
+best as (select doc_id, item_id, n, max(total - floor) as score from low group by doc_id, item_id, shift, n)
+select doc_id, item_id, cast(max(score) as bigint) as score, cast(max(n) as bigint) as item_words from best
+where score >= least(13, ceil(0.6 * n)) group by doc_id, item_id
+"""
+
 
 def queries() -> dict:
     def with_workers(f):
