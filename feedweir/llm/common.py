@@ -68,11 +68,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, key: str, salts: int = 32) -> DataFrame:
+def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """Left join of `big` to `small` (at most one row a key), spreading each key of `big` over `salts` tasks.
 
     The copies of `small` cost salts times its rows, so pre-aggregate it first. Null keys find nothing.
     """
     left = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")

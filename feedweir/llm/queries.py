@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import best_fit, chat_format, decontaminate, url_rules, warc
+from feedweir.llm import best_fit, chat_format, decontaminate, ngram_join, url_rules, warc
 from feedweir.llm.common import table, workers_import_here
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -17,6 +17,10 @@ def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", mark), (-1, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
@@ -43,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = {f.__name__: f for f in (op2_warc_writer, op6_chat_formatting, op7_best_fit_packing, op9_url_filter, op10_decontamination)}
+_QUERIES = {f.__name__: f for f in (op2_warc_writer, op3_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op9_url_filter, op10_decontamination)}
 
 _ORACLES: dict[str, str] = {}
 
@@ -57,6 +61,21 @@ select d.page_id, d.payload_bytes, d.payload_digest,
 from d left join m on d.payload_digest = m.payload_digest and d.payload_bytes >= 1000
 """
 
+_ORACLES["op3_ngram_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end as s
+  from w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, top) as (select doc_id, doc_id from documents union select e.b, r.top from r join e on e.a = r.doc_id and r.top < e.b)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(top) from r where r.doc_id = d.doc_id) as component_id
+from documents d left join n on n.doc_id = d.doc_id
+"""
+
 _ORACLES["op6_chat_formatting"] = r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

@@ -144,7 +144,7 @@ def write_archives(
 
     large = keys.where(F.col("bytes") >= min_revisit_bytes)
     copies = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    notes = salted_lookup(large, copies, "digest").where("refers_to is not null and not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
+    notes = salted_lookup(large, copies, ["digest"]).where("refers_to is not null and not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
 
     low, high, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
     shards = max(min_shards, -(-(total or 0) // shard_bytes))
