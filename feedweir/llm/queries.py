@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import best_fit, chat_format, decontaminate, ngram_join, url_rules, warc
+from feedweir.llm import best_fit, chat_format, decontaminate, ngram_join, perplexity, toxicity, url_rules, warc
 from feedweir.llm.common import table, workers_import_here
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -21,6 +21,16 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", mark), (-1, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
@@ -47,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = {f.__name__: f for f in (op2_warc_writer, op3_ngram_jaccard_join, op6_chat_formatting, op7_best_fit_packing, op9_url_filter, op10_decontamination)}
+_QUERIES = {f.__name__: f for f in (op2_warc_writer, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op9_url_filter, op10_decontamination)}
 
 _ORACLES: dict[str, str] = {}
 
