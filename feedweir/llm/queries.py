@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm import best_fit, chat_format, decontaminate, ngram_join, perplexity, toxicity, url_rules, warc
+from feedweir.llm import best_fit, chat_format, decontaminate, html_text, language_id, ngram_join, perplexity, toxicity, url_rules, warc
 from feedweir.llm.common import table, workers_import_here
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_pages(table(spark, sf_dir, "pages"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,6 +53,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages; a document's `lang` is its declared language and its `source` its host."""
+    docs = table(spark, sf_dir, "documents")
+    pages = language_id.page_records(table(spark, sf_dir, "pages"), url_rules.host_of(F.col("url")))
+    records = docs.select("doc_id", "text", F.col("lang").alias("markup"), F.col("source").alias("host")).unionByName(pages, allowMissingColumns=True)
+    return language_id.identify(records, *language_id.train(docs)).select("doc_id", "page_id", "lang", "confidence", "text_lang", "kept")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -57,7 +69,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_QUERIES = {f.__name__: f for f in (op2_warc_writer, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_chat_formatting, op7_best_fit_packing, op9_url_filter, op10_decontamination)}
+_QUERIES = {f.__name__: f for f in (
+    op1_html_extraction, op2_warc_writer, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules,
+    op6_chat_formatting, op7_best_fit_packing, op8_language_id, op9_url_filter, op10_decontamination,
+)}
 
 _ORACLES: dict[str, str] = {}
 
