@@ -23,18 +23,19 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _seeds(frame: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row per window and mask with its `seed` and first token's `at`; `words` and the other columns are kept.
+def _seeds(frame: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """A row (key, at, seed) per window and mask; `at` is the window's first token.
 
-    The windows are laid out as shifted slices and exploded, so that hashing runs in generated code.
+    The windows are laid out as shifted slices and exploded, so that hashing runs in generated code. The
+    words themselves are not carried along: a long text would be copied for each of its windows.
     """
     span = 1 + max(k for m in masks for k in m)
     used = sorted({k for m in masks for k in m})
     n = F.greatest(F.size("words") - F.lit(span - 1), F.lit(0))
     shifted = F.arrays_zip(*[F.slice("words", F.lit(k + 1), n).alias(f"w{k}") for k in used])
-    windows = frame.select(*frame.columns, F.posexplode(shifted).alias("at", "_w"))
+    windows = frame.select(key, F.posexplode(shifted).alias("at", "_w"))
     seed = F.explode(F.array(*[F.xxhash64(F.lit(i), *[F.col("_w")[f"w{k}"] for k in m]) for i, m in enumerate(masks)]))
-    return windows.select(*frame.columns, "at", seed.alias("seed"))
+    return windows.select(key, "at", seed.alias("seed"))
 
 
 def best_score(a: Column, b: Column) -> Column:
@@ -47,7 +48,7 @@ def best_score(a: Column, b: Column) -> Column:
 
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    masks: tuple[tuple[int, ...], ...] = MASKS, min_score: int = 13, min_share: float = 0.6, max_broadcast_seeds: int = 2_000_000,
+    masks: tuple[tuple[int, ...], ...] = MASKS, min_score: int = 13, min_share: float = 0.6, max_broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Rows doc_id, item_id, score, item_words of the contaminated pairs, one per pair.
 
@@ -56,28 +57,23 @@ def find_overlaps(
     window and match nothing, like null or empty texts. Rows that share an id are one document; null ids
     pair up as one. An empty table on either side gives no rows. Extra columns are ignored.
 
-    The seeds of the benchmark are counted first: up to `max_broadcast_seeds` they are broadcast; beyond it
-    seeds and documents meet in shuffled joins.
+    Seeds of the benchmark, its items and the alignments found are counted: up to `max_broadcast_rows` rows
+    they are broadcast to the documents; beyond it the joins shuffle.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("words"))
-    item_seeds = materialize(_seeds(items, masks).select("seed", "item_id", F.col("at").alias("item_at"), F.col("words").alias("item_words")).distinct(), "seeds")
+    few = lambda df: F.broadcast(df) if df.count() <= max_broadcast_rows else df
+    items = materialize(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("words")), "items")
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
-    start = F.col("at") - F.col("item_at")  # where the item's first token falls in the document; may be below 0
-    skipped = F.greatest(-start, F.lit(0))
-    region = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("item_words") - skipped)
-    if item_seeds.count() <= max_broadcast_seeds:
-        met = _seeds(words, masks).join(F.broadcast(item_seeds), "seed")
-        aligned = met.select("doc_id", "item_id", "item_words", skipped.alias("skipped"), region.alias("region")).distinct()
-    else:
-        met = _seeds(words.withColumn("words", F.col("words")), masks).select("doc_id", "at", "seed").join(item_seeds, "seed")
-        diagonals = met.select("doc_id", "item_id", "item_words", start.alias("start")).distinct()
-        at = F.col("start")
-        aligned = diagonals.join(words, diagonals["doc_id"].eqNullSafe(words["doc_id"])).select(
-            diagonals["doc_id"], "item_id", "item_words", F.greatest(-at, F.lit(0)).alias("skipped"),
-            F.slice("words", F.greatest(at, F.lit(0)) + 1, F.size("item_words") - F.greatest(-at, F.lit(0))).alias("region"),
-        )
-    other = F.slice("item_words", F.col("skipped") + 1, F.size("region"))
-    scored = aligned.select("doc_id", "item_id", F.size("item_words").cast("long").alias("item_words"), best_score(F.col("region"), other).cast("long").alias("score"))
+    item_seeds = materialize(_seeds(items, "item_id", masks).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
+    # where the item's first token falls in the document; below 0 if the document begins later
+    start = (F.col("at") - F.col("item_at")).alias("start")
+    met = materialize(_seeds(words, "doc_id", masks).join(few(item_seeds), "seed").select("doc_id", "item_id", start).distinct(), "alignments")
+    both = words.join(few(met.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    skipped = F.greatest(-F.col("start"), F.lit(0))
+    region = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("item_size"))
+    sizes = items.select("item_id", F.size("words").alias("item_size"), F.col("words").alias("item_words"))
+    aligned = both.join(few(sizes), "item_id").select("doc_id", "item_id", "item_size", F.slice("item_words", skipped + 1, F.col("item_size")).alias("a"), region.alias("b"))
+    shorter = F.least(F.size("a"), F.size("b"))
+    scored = aligned.select("doc_id", "item_id", F.col("item_size").cast("long").alias("item_words"), best_score(F.slice("a", F.lit(1), shorter), F.slice("b", F.lit(1), shorter)).cast("long").alias("score"))
     needed = F.least(F.lit(min_score), F.ceil(F.lit(min_share) * F.col("item_words")))
     return scored.where(F.col("score") >= needed).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_words").alias("item_words"))
 
