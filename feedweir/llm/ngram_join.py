@@ -13,7 +13,8 @@ from cheap to dear:
 
 Members of a key (a shingle, or a pair of shingles) are first compared with one hub each, for a few rounds; pairs
 that one component holds already need no comparison, so a group of near copies costs what its members
-cost, not its pairs. What is then still apart is compared pair by pair, so that no link is lost.
+cost, not its pairs. What is then still apart is compared pair by pair, so that no link is lost;
+pairs that lonely elements or parity bits prove too different are left out.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, salted_lookup, workers_import_here
+from feedweir.llm.common import few, materialize, salted_lookup, workers_import_here
 from feedweir.llm.components import connected_components
 
 #: Odd multipliers that mix the word hashes of a window (fixed values).
@@ -146,68 +147,179 @@ def _rows(docs=None, low=None, local=None, bucket=None, hashes=None, owners=None
     return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(size, f.type) for f in SCAN], schema=SCAN)
 
 
-def _count_shared(group: pa.Table) -> pa.Table:
-    """Of one bucket: how many hashes of each set some other set shows as well."""
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, owner) of one bucket, sorted; SEVERAL may stand there more than once."""
     parts = [(np.frombuffer(h.as_py(), np.uint64), np.repeat(np.frombuffer(o.as_py(), np.int64), np.frombuffer(r.as_py(), "<u4"))) for h, o, r in zip(group["hashes"], group["owners"], group["runs"])]
     hashes, owners = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((owners, hashes))
     hashes, owners = hashes[order], owners[order]
-    new_hash = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    keep = new_hash | np.concatenate([[True], owners[1:] != owners[:-1]]) | (owners == SEVERAL)  # a set's copies in other blocks go
-    hashes, owners, new_hash = hashes[keep], owners[keep], new_hash[keep]
-    alone = new_hash & np.concatenate([new_hash[1:], [True]])
-    low, n = np.unique(owners[~alone & (owners != SEVERAL)], return_counts=True)
-    return pa.table({"low": pa.array(low, pa.int64()), "n": pa.array(n, pa.int64())})
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])]) | (owners == SEVERAL)  # a set's copies in other blocks go
+    return hashes[new], owners[new]
 
 
-def _sets(width: int):
+def _dealt(owners: np.ndarray, parts: int) -> np.ndarray:
+    return (owners.view(np.uint64) * np.uint64(MIX[0]) >> np.uint64(40)).astype(np.int64) % parts
+
+
+def _count_shared(parts: int):
+    """Of one bucket: how many hashes of each set some other set shows as well, packed by a hash of the set."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes, owners = _unpacked(group)
+        first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        alone = first & np.concatenate([first[1:], [True]])
+        low, n = np.unique(owners[~alone & (owners != SEVERAL)], return_counts=True)
+        to = _dealt(low, parts)
+        rows = [(int(p), low[to == p].tobytes(), n[to == p].astype("<i4").tobytes()) for p in np.unique(to)]
+        columns = list(zip(*rows)) or [()] * 3
+        return pa.table({"part": pa.array(columns[0], pa.int32()), "lows": pa.array(columns[1], pa.binary()), "counts": pa.array(columns[2], pa.binary())})
+
+    return run
+
+
+def _sum_shared(group: pa.Table) -> pa.Table:
+    low = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in group["lows"]])
+    n = np.concatenate([np.frombuffer(x.as_py(), "<i4") for x in group["counts"]])
+    each, at = np.unique(low, return_inverse=True)
+    return pa.table({"low": pa.array(each, pa.int64()), "n": pa.array(np.bincount(at, n).astype(np.int64))})
+
+
+def parity_bits(hashes: np.ndarray) -> tuple[int, ...]:
+    """256 bits, each the parity of the hashes that fall on it: the bits that differ between two sets are at most as
+    many as the elements that do."""
+    odd = (np.bincount((hashes >> np.uint64(9) & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return tuple(int(x) for x in np.packbits(odd).view(np.int64))
+
+
+def _post(buckets: int, block: int, width: int):
+    """Whole sets, posted: a row per set with its size and parity bits, and packed hashes by bucket of hash space."""
+    shift = np.uint64(64 - (buckets - 1).bit_length()) if buckets > 1 else None
+    empty = lambda n: {"high": [None] * n, "low": [None] * n, "bits": [None] * n}
+
+    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()])
+        hashes, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
+        where = (hashes >> shift).astype(np.int64) if shift is not None else np.zeros(len(hashes), np.int64)
+        order = np.lexsort((owner, where))
+        hashes, owner, where = hashes[order], owner[order], where[order]
+        edges = np.flatnonzero(np.diff(where)) + 1
+        for a, b in zip([0, *edges], [*edges, len(where)]):
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(owner[a:b])) + 1])
+            yield row(empty(1) | {"bucket": [int(where[a])], "hashes": [hashes[a:b].tobytes()], "owners": [keys[owner[a:b][starts]].tobytes()], "runs": [np.diff(np.append(starts, b - a)).astype("<u4").tobytes()]})
+
+    def row(made: dict) -> pa.RecordBatch:
+        size = len(made["low"])
+        return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if f.name in made else pa.nulls(size, f.type) for f in POST], schema=POST)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            rows = [(*signature(s), s.view(np.int64)) for s in (shingles(words_of(t.as_py()), width) for t in batch.column(0)) if len(s)]
-            high, low, sets = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["high", "low", "shingles"])
+            made: dict = {"high": [], "low": [], "bits": []}
+            for text in batch.column(0):
+                s = shingles(words_of(text.as_py()), width)
+                if len(s) <= 3:
+                    continue
+                high, low = signature(s)
+                if low not in sets:
+                    made["high"].append(high)
+                    made["low"].append(low)
+                    made["bits"].append(parity_bits(s))
+                    sets[low] = s
+                    held += len(s)
+            yield row(made)
+            if held >= block:
+                yield from flush(sets)
+                sets, held = {}, 0
+        if sets:
+            yield from flush(sets)
 
     return run
 
 
-def _live_classes(docs: DataFrame, block: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """All documents (doc_id, n, high, low), and the classes that step 1 leaves (high, low, n, node, sample_id)."""
+POST = pa.schema([("high", pa.int64()), ("low", pa.int64()), ("bits", pa.list_(pa.int64())), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary()), ("runs", pa.binary())])
+POST_DDL = "high long, low long, bits array<long>, bucket int, hashes binary, owners binary, runs binary"
+
+
+def _frequencies(parts: int):
+    """Of one bucket: the hashes that two sets or more have, with the number of sets, packed by a hash of the owner."""
+
+    def run(group: pa.Table) -> pa.Table:
+        hashes, owners = _unpacked(group)
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        sets = np.repeat(np.diff(np.append(first, len(hashes))), np.diff(np.append(first, len(hashes))))
+        hashes, owners, sets = hashes[sets > 1], owners[sets > 1], sets[sets > 1]
+        to = _dealt(owners, parts)
+        order = np.lexsort((owners, to))
+        hashes, owners, sets, to = hashes[order], owners[order], sets[order], to[order]
+        edges = np.flatnonzero(np.diff(to)) + 1
+        rows = []
+        for a, b in zip([0, *edges], [*edges, len(to)]) if len(to) else ():
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(owners[a:b])) + 1])
+            rows.append((int(to[a]), owners[a:b][starts].tobytes(), np.diff(np.append(starts, b - a)).astype("<u4").tobytes(), hashes[a:b].tobytes(), sets[a:b].astype("<u4").tobytes()))
+        columns = list(zip(*rows)) or [()] * 5
+        names = ["part", "owners", "runs", "hashes", "sets"]
+        return pa.table([pa.array(c, pa.int32() if n == "part" else pa.binary()) for c, n in zip(columns, names)], names)
+
+    return run
+
+
+def _rank(group: pa.Table) -> pa.Table:
+    """Of some sets: their shared hashes from rare to common, and the frequencies of the leading ones."""
+    parts = [(np.repeat(np.frombuffer(o.as_py(), np.int64), np.frombuffer(r.as_py(), "<u4")), np.frombuffer(h.as_py(), np.int64), np.frombuffer(s.as_py(), "<u4")) for o, r, h, s in zip(group["owners"], group["runs"], group["hashes"], group["sets"])]
+    owners, hashes, sets = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((hashes, sets, owners))
+    owners, hashes, sets = owners[order], hashes[order], sets[order]
+    starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+    offsets = pa.array(np.append(starts, len(owners)).astype(np.int32))
+    ends = np.append(starts[1:], len(owners))
+    lead = [sets[a : min(b, a + (b - a) // 3 + 2)].astype(np.int32) for a, b in zip(starts, ends)]
+    return pa.table([pa.array(owners[starts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(hashes)), pa.array(lead, pa.list_(pa.int32()))], ["low", "ranked", "sets"])
+
+
+def _live_classes(docs: DataFrame, block: int, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """All documents (doc_id, n, high, low), the classes that step 1 leaves (high, low, n, node, sample_id), and a number of
+    buckets for their hashes."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(4, (int(text_bytes / 15) // 2_000_000).bit_length())
+    buckets = 1 << max(4, (int(text_bytes / 15) // 1_000_000).bit_length())
     scan = materialize(docs.select("doc_id", "text").mapInArrow(_scan(buckets, block, width), SCAN_DDL), "scan")
     documents = scan.where("kind = 0").select("doc_id", "n", "high", "low")
     within = scan.where("kind = 1").groupBy("low").agg(F.max("n").alias("n"))
-    across = scan.where("kind = 2").select("bucket", "hashes", "owners", "runs").groupBy("bucket").applyInArrow(_count_shared, "low long, n long")
-    shared = within.unionByName(across.groupBy("low").agg(F.sum("n").alias("n"))).groupBy("low").agg(F.sum("n").alias("shared"))
+    across = scan.where("kind = 2").select("bucket", "hashes", "owners", "runs").groupBy("bucket").applyInArrow(_count_shared(buckets), "part int, lows binary, counts binary")
+    summed = across.groupBy("part").applyInArrow(_sum_shared, "low long, n long")
+    shared = within.unionByName(summed).groupBy("low").agg(F.sum("n").alias("shared"))
     node = F.coalesce("sample_id", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("high", "low"), 3))
     classes = documents.where("n > 3").groupBy("high", "low").agg(F.min("doc_id").alias("sample_id"), F.max("n").alias("n"))
     live = classes.join(shared, "low").where(F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
-    return documents, materialize(live.select("high", "low", "n", "sample_id", node.alias("node")), "classes")
+    return documents, materialize(live.select("high", "low", "n", "sample_id", node.alias("node")), "classes"), buckets
 
 
-def _ordered_sets(docs: DataFrame, live: DataFrame, width: int) -> DataFrame:
-    """node, n, spare, ranked: shingles that other sets have as well, from rare to common, and how many more
-    of them than required the set has; only of sets that can have a partner."""
-    wanted = docs.select("doc_id", "text").join(live.select(F.col("sample_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = wanted.select("text").mapInArrow(_sets(width), "high long, low long, shingles array<long>")
-    found = sets.join(live.select("high", "low", "n", "node"), ["high", "low"]).dropDuplicates(["high", "low"])
-    posted = materialize(found.select("node", "n", "shingles"), "sets").select("node", "n", F.explode("shingles").alias("shingle"))
-    common = posted.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
-    ranked = posted.join(common, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("ranked"))
-    spare = F.floor(F.col("n") / 5) - (F.col("n") - F.size("ranked"))
-    return materialize(ranked.withColumn("spare", spare.cast("int")).where("spare >= 0"), "ranked")
+def _ordered_sets(docs: DataFrame, live: DataFrame, buckets: int, block: int, width: int, max_broadcast_ids: int) -> DataFrame:
+    """node, n, bits, ranked, sets, lonely, spare: the shingles that other sets have as well, from rare to common; how many
+    (lonely) are no one else's; and how many of the ranked ones a partner may lack. Only sets that can have a partner."""
+    ids = few(live.select(F.col("sample_id").alias("_id")).distinct(), max_broadcast_ids)
+    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    posted = materialize(wanted.select("text").mapInArrow(_post(buckets, block, width), POST_DDL), "posted")
+    meta = posted.where("low is not null").select("high", "low", "bits").dropDuplicates(["high", "low"])
+    packed = posted.where("bucket is not null").select("bucket", "hashes", "owners", "runs").groupBy("bucket").applyInArrow(_frequencies(buckets), "part int, owners binary, runs binary, hashes binary, sets binary")
+    ranked = packed.groupBy("part").applyInArrow(_rank, "low long, ranked array<long>, sets array<int>")
+    found = live.select("high", "low", "n", "node").join(meta, ["high", "low"]).join(ranked, "low")
+    lonely = (F.col("n") - F.size("ranked")).cast("int")
+    spare = F.floor(F.col("n") / 5).cast("int") - F.col("lonely")
+    return materialize(found.select("node", "n", "bits", "ranked", "sets", lonely.alias("lonely")).withColumn("spare", spare).where("spare >= 0"), "ranked")
 
 
-def choose_boundary(ranked: DataFrame) -> int:
+def choose_boundary(ranked: DataFrame, comparison: float = 1 / 16) -> int:
     """The size up to which enumerating pairs of leading shingles costs less than scanning lists.
 
-    Light cost of a set: its pairs of leading shingles. Heavy cost: the lengths of its leading lists.
-    Sizes are binned by eighths of a power of two, so the driver reads a few hundred rows at most.
+    Costs are in rows made: light sets make a row for each pair of leading shingles; heavy ones a row for each leading
+    shingle, and compare with that shingle's list, at `comparison` of a row each. Sizes are binned by
+    eighths of a power of two, so the driver reads a few hundred rows at most.
     """
     light = (F.col("spare") + 2) * (F.col("spare") + 1) / 2
-    heavy = F.aggregate(F.slice("ranked", F.lit(1), F.col("spare") + 1), F.lit(0).cast("long"), lambda s, x: s + x["sets"])
+    listed = F.aggregate(F.slice("sets", F.lit(1), F.col("spare") + 1), F.lit(0).cast("long"), lambda s, x: s + x)
     step = F.floor(F.log2("n") * 8).cast("int")
-    rows = sorted(map(tuple, ranked.groupBy(step.alias("step")).agg(F.max("n"), F.sum(light), F.sum(heavy)).collect()))
+    rows = sorted(map(tuple, ranked.groupBy(step.alias("step")).agg(F.max("n"), F.sum(light), F.sum(F.col("spare") + 1 + comparison * listed)).collect()))
     boundary, cost = 0, sum(h for *_, h in rows)
     best = cost
     for _, top, l, h in rows:
@@ -218,29 +330,39 @@ def choose_boundary(ranked: DataFrame) -> int:
 
 
 def _keys(ranked: DataFrame, boundary: int) -> DataFrame:
-    """key, node, n, heavy: what a linked pair of sets is sure to have in common.
+    """key, node, n, lonely, bits, heavy, pairs: what a linked pair of sets is sure to have in common.
 
     Two heavy sets, or a heavy and a light one, share a leading shingle; two light ones a pair of them.
     """
-    first = lambda more: F.transform(F.slice("ranked", F.lit(1), F.col("spare") + more), lambda x: x["shingle"])
+    first = lambda more: F.slice("ranked", F.lit(1), F.col("spare") + more)
     heavy = F.col("n") > boundary
-    single = ranked.where(heavy | (F.col("n") >= 0.8 * boundary)).select(F.explode(first(1)).alias("s"), "node", "n", heavy.alias("heavy"))
-    lists = single.select(F.xxhash64(F.lit(1), "s").alias("key"), "node", "n", "heavy", F.lit(False).alias("pairs"))
-    leads = ranked.where(~heavy).select("node", "n", first(2).alias("f"))
-    one = leads.select("node", "n", "f", F.posexplode("f").alias("i", "a"))
-    both = one.select("node", "n", "a", F.explode(F.slice("f", F.col("i") + 2, F.greatest(F.size("f") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    subsets = both.select(F.xxhash64(F.lit(2), "a", "b").alias("key"), "node", "n", F.lit(False).alias("heavy"), F.lit(True).alias("pairs"))
+    about = ("node", "n", "lonely", "bits")
+    single = ranked.where(heavy | (F.col("n") >= 0.8 * boundary)).select(F.explode(first(1)).alias("s"), *about, heavy.alias("heavy"))
+    lists = single.select(F.xxhash64(F.lit(1), "s").alias("key"), *about, "heavy", F.lit(False).alias("pairs"))
+    leads = ranked.where(~heavy).select(*about, first(2).alias("f"))
+    one = leads.select(*about, "f", F.posexplode("f").alias("i", "a"))
+    both = one.select(*about, "a", F.explode(F.slice("f", F.col("i") + 2, F.greatest(F.size("f") - F.col("i") - 1, F.lit(0)))).alias("b"))
+    subsets = both.select(F.xxhash64(F.lit(2), "a", "b").alias("key"), *about, F.lit(False).alias("heavy"), F.lit(True).alias("pairs"))
     return lists.unionByName(subsets)
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     """Of distinct candidate pairs (a, b), those with 100 * intersection >= 80 * union, as links (u, v)."""
-    side = lambda c: ranked.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranked.shingle").alias(f"s_{c}"))
+    side = lambda c: ranked.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranked").alias(f"s_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b"))
     return both.where(100 * common >= 80 * (F.col("n_a") + F.col("n_b") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _may_link(a: str, b: str) -> Column:
+    """No more elements differ for sure than two linked sets differ in: a ninth of both sizes together.
+
+    For sure differ the lonely ones of both sets, and as many elements as parity bits."""
+    n = F.col(f"{a}n") + F.col(f"{b}n")
+    bits = sum((F.bit_count(F.col(f"{a}bits")[i].bitwiseXOR(F.col(f"{b}bits")[i])) for i in range(4)), F.lit(0))
+    return (9 * (F.col(f"{a}lonely") + F.col(f"{b}lonely")) <= n) & (9 * bits <= n) & (F.least(F.col(f"{a}n"), F.col(f"{b}n")) * 5 >= F.greatest(F.col(f"{a}n"), F.col(f"{b}n")) * 4)
+
+
 def _labelled(keys: DataFrame, components: DataFrame | None) -> DataFrame:
     if components is None:
         return keys.withColumn("component", F.col("node"))
@@ -253,7 +375,7 @@ def _open(keys: DataFrame) -> DataFrame:
     return keys.join(several, "key", "left_semi")
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hub_rounds: int = 3, block: int = 3_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hub_rounds: int = 2, block: int = 1_000_000, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are A-Z lower-cased runs without ASCII white space. A document with fewer words than `width` has
@@ -266,8 +388,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     workers_import_here(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    documents, live = _live_classes(named, block, width)
-    ranked = _ordered_sets(named, live, width)
+    documents, live, buckets = _live_classes(named, block, width)
+    ranked = _ordered_sets(named, live, buckets, block, width, max_broadcast_ids)
     keys = materialize(_keys(ranked, choose_boundary(ranked)), "keys")
 
     links = components = None
@@ -275,17 +397,17 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         keys = materialize(_open(_labelled(keys.drop("component"), components)), "keys")
         if keys.isEmpty():
             break
-        fits = lambda x, y: F.least(x, y) * 5 >= F.greatest(x, y) * 4
-        if turn < hub_rounds:  # members against one hub for each key and band of sizes
+        if turn < hub_rounds:  # members against one hub for each key and band of sizes: the one with most in common with others
             band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + turn / 2)
             banded = keys.withColumn("band", band)
-            hubs = banded.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "component")).alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-            met = banded.join(hubs, ["key", "band"]).where(F.col("component") != F.col("hub.component")).where(fits(F.col("n"), F.col("hub.n")))
+            hub = F.min(F.struct("lonely", F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "bits", "component"))
+            hubs = banded.groupBy("key", "band").agg(hub.alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
+            met = banded.join(hubs, ["key", "band"]).where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
             pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:  # whatever is still apart, pair by pair
             x, y = keys.alias("x"), keys.alias("y")
-            met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.node < y.node and x.component <> y.component and (x.pairs or x.heavy or y.heavy)")
-            pairs = met.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            apart = F.expr("x.node < y.node and x.component <> y.component and (x.pairs or x.heavy or y.heavy)")
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.", "y.")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         found = materialize(_verified(pairs.distinct(), ranked), "verified")
         links = found if links is None else links.unionByName(found)
         components = materialize(connected_components(links), "components")
