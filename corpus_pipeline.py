@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweir.llm import best_fit, decontaminate, language_id, ngram_join, perplexity
-from feedweir.llm.common import materialize, table
+from feedweir.llm.common import few, materialize, table
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id is not in `ids` (column doc_id); a null counts as an id."""
-    gone = materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = few(materialize(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 

@@ -68,6 +68,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def few(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """The table, marked for broadcast if it is counted to have at most `max_rows` rows."""
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """Left join of `big` to `small` (at most one row a key), spreading each key of `big` over `salts` tasks.
 

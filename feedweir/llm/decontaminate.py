@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize
+from feedweir.llm.common import few, materialize
 
 #: The masks hold under a substitution of every third, fourth, fifth or later token: for each such period
 #: one of them leaves out a whole residue class.
@@ -60,18 +60,17 @@ def find_overlaps(
     Seeds of the benchmark, its items and the alignments found are counted: up to `max_broadcast_rows` rows
     they are broadcast to the documents; beyond it the joins shuffle.
     """
-    few = lambda df: F.broadcast(df) if df.count() <= max_broadcast_rows else df
     items = materialize(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("words")), "items")
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     item_seeds = materialize(_seeds(items, "item_id", masks).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
     # where the item's first token falls in the document; below 0 if the document begins later
     start = (F.col("at") - F.col("item_at")).alias("start")
-    met = materialize(_seeds(words, "doc_id", masks).join(few(item_seeds), "seed").select("doc_id", "item_id", start).distinct(), "alignments")
-    both = words.join(few(met.withColumnRenamed("doc_id", "_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    met = materialize(_seeds(words, "doc_id", masks).join(few(item_seeds, max_broadcast_rows), "seed").select("doc_id", "item_id", start).distinct(), "alignments")
+    both = words.join(few(met.withColumnRenamed("doc_id", "_id"), max_broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     skipped = F.greatest(-F.col("start"), F.lit(0))
     region = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("item_size"))
     sizes = items.select("item_id", F.size("words").alias("item_size"), F.col("words").alias("item_words"))
-    aligned = both.join(few(sizes), "item_id").select("doc_id", "item_id", "item_size", F.slice("item_words", skipped + 1, F.col("item_size")).alias("a"), region.alias("b"))
+    aligned = both.join(few(sizes, max_broadcast_rows), "item_id").select("doc_id", "item_id", "item_size", F.slice("item_words", skipped + 1, F.col("item_size")).alias("a"), region.alias("b"))
     shorter = F.least(F.size("a"), F.size("b"))
     scored = aligned.select("doc_id", "item_id", F.col("item_size").cast("long").alias("item_words"), best_score(F.slice("a", F.lit(1), shorter), F.slice("b", F.lit(1), shorter)).cast("long").alias("score"))
     needed = F.least(F.lit(min_score), F.ceil(F.lit(min_share) * F.col("item_words")))
@@ -80,5 +79,5 @@ def find_overlaps(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` whose id has no overlap; a null id counts as an id."""
-    hits = materialize(find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
+    hits = few(materialize(find_overlaps(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_hit")).distinct(), "hits"))
     return docs.join(hits, docs[id_col].eqNullSafe(hits["_hit"]), "left_anti")
