@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """An empty frame's columns default to floats, which can't become text; as objects they fit any type."""
+    return frame if len(frame) else frame.astype(object)
+
+
 def few(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """The table, marked for broadcast if it is counted to have at most `max_rows` rows."""
     return F.broadcast(df) if df.count() <= max_rows else df

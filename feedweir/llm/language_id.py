@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import ascii_lower, materialize, salted_lookup, workers_import_here
+from feedweir.llm.common import ascii_lower, materialize, salted_lookup, settled, workers_import_here
 
 BUCKETS = 1 << 15
 UND = "und"
@@ -77,12 +77,14 @@ def identify(
     """The key columns of `records`, and lang, confidence, text_lang, kept.
 
     `records` has text, markup (declared language or null), host (or null) and any key columns besides. A language
-    code counts by its first part in lower case. A record without letters has only the other evidence and is "und"
+    code counts by its first part in lower case. Without any trained language all is "und". A record without letters has only the other evidence and is "und"
     if that is absent as well. kept: the language is one of `keep` (default: all trained) with at least
     `least_confidence`. Nulls are missing evidence; repeated rows are judged alike; an empty table gives no rows.
     """
     workers_import_here(records.sparkSession)
     keys = [c for c in records.columns if c not in ("text", "markup", "host")]
+    if len(languages) == 1:  # nothing was learnt
+        return records.select(*keys, F.lit(UND).alias("lang"), F.lit(1.0).alias("confidence"), F.lit(UND).alias("text_lang"), F.lit(False).alias("kept"))
     real, size = languages[:-1], len(languages)
     shared = records.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
     types = ", ".join(f"`{c}` {t}" for c, t in records.dtypes if c in keys)
@@ -96,7 +98,7 @@ def identify(
                 n = len(buckets)
                 total = logs[buckets].sum(axis=0, dtype=np.float64) * (min(n, TEMPER) / n) if n else np.zeros(size)
                 text.append((total - total.max()).tolist())
-            yield f[[*keys, "markup", "host"]].assign(logs=text, has_text=[any(x) for x in text])
+            yield settled(f[[*keys, "markup", "host"]].assign(logs=text, has_text=[any(x) for x in text]))
 
     named = records.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.substring_index(F.substring_index(ascii_lower(F.coalesce("markup", F.lit(""))), "-", 1), "_", 1).alias("markup"), F.coalesce("host", F.lit("")).alias("host"))
     scored = materialize(named.mapInPandas(read, f"{types}{', ' if types else ''}markup string, host string, logs array<double>, has_text boolean"), "text-evidence")

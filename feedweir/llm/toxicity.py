@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, workers_import_here
+from feedweir.llm.common import materialize, settled, workers_import_here
 
 WORD = re.compile(r"\w+")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -154,15 +154,14 @@ def _correlation_tree(votes: np.ndarray, weights: np.ndarray, post: np.ndarray,
     return parent
 
 
-def fit_label_model(votes: np.ndarray, weights: np.ndarray, known: np.ndarray, prior: float, rounds: int = 25, least_information: float = 0.002) -> LabelModel:
+def fit_label_model(votes: np.ndarray, weights: np.ndarray, known: np.ndarray, prior: float, rounds: int = 80, least_information: float = 0.004) -> LabelModel:
     """Expectation maximisation. `known` is 0 or 1 where a row's label is given, else NaN. The correlation
-    tree is estimated anew in each of the first rounds."""
-    some = votes.any(axis=1)
-    post = np.where(np.isnan(known), np.where(some, 0.6, 0.02), known)
+    tree is estimated once voters are told apart as if they were independent, and once more later."""
+    post = np.where(np.isnan(known), np.clip(votes.mean(axis=1), 0.02, 0.98), known)
     parent = [-1] * votes.shape[1]
     model = None
     for turn in range(rounds):
-        if turn in (2, 5, 10):
+        if turn in (40, 60):
             parent = _correlation_tree(votes, weights, post, least_information)
         table = np.empty((votes.shape[1], 2, 2))
         for j, p in enumerate(parent):
@@ -219,7 +218,7 @@ def _mine(sample: DataFrame, rows: DataFrame, max_candidates: int, max_stems: in
             for t in f["text"]:
                 w = t.lower().split()
                 least.append(min(xxhash.xxh3_64_intdigest(" ".join(w[i : i + 3])) >> 1 for i in range(max(1, len(w) - 2))))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "sketch": least})
+            yield settled(pd.DataFrame({"doc_id": f["doc_id"], "toxic": f["toxic"], "sketch": least}))
 
     # copies, near ones mostly too, share the least hash of their word windows: one of them is enough
     single = sample.mapInPandas(sketch, "doc_id long, toxic int, sketch long").groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -290,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clean:
                 counts, words = match.counts(lower), len(lower.split())
                 votes.append(sum(1 << i for i, v in enumerate(_patterns(counts, groups, t, words)) if v))
                 xs.append(features(counts, words))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "votes": votes, "x": xs})
+            yield settled(pd.DataFrame({"doc_id": f["doc_id"], "votes": votes, "x": xs}))
 
     training = texts.where(~held_out())
     voted = training.mapInPandas(vote, "doc_id long, votes int, x array<double>").withColumn("pick", F.xxhash64("doc_id"))
@@ -324,7 +323,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rate = model.scorer()
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": [rate(t) for t in f["text"]]})
+            yield settled(pd.DataFrame({"doc_id": f["doc_id"], "score": [rate(t) for t in f["text"]]}))
 
     named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = named.mapInPandas(run, "doc_id long, score double")

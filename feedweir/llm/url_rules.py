@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import ascii_lower, workers_import_here
+from feedweir.llm.common import ascii_lower, settled, workers_import_here
 
 #: Keys that are sampled to find the bounds of the ranges; they only balance the work.
 MAX_SAMPLE = 20_000
@@ -62,7 +62,7 @@ def _sweep(default: str):
                 best = max(fits, key=lambda s: (len(s[2]), s[3] == "block", s[2]), default=None)
                 rules.append(best[2] if best else None)
                 verdicts.append(best[3] if best else default)
-            yield frame.loc[addresses, ["page_id", "host", "path"]].assign(rule=rules, verdict=verdicts)
+            yield settled(frame.loc[addresses, ["page_id", "host", "path"]].assign(rule=pd.Series(rules, dtype=object).to_numpy(), verdict=verdicts))
 
     return run
 

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, new_dir, salted_lookup, workers_import_here
+from feedweir.llm.common import materialize, new_dir, salted_lookup, settled, workers_import_here
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:web-archive-records")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -230,7 +230,7 @@ def read_archives(spark: SparkSession, where: str, *, with_payload: bool = False
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=names)
+    frame = settled(pd.DataFrame(rows, columns=names))
     return frame.astype({n: "Int64" for n in ("page_id", "refers_to") if n in names})
 
 
