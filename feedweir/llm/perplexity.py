@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, workers_import_here
+from feedweir.llm.common import materialize, settled, workers_import_here
 from feedweir.llm.ngram_join import MIX
 
 ORDER, BITS = 5, 12
@@ -177,12 +177,17 @@ class Arrays:
 
 
 def to_arrays(model: dict[int, DataFrame]) -> dict[str, Arrays]:
+    """The model as sorted arrays on the driver; it comes as Arrow columns, never as rows."""
     parts: dict[str, list] = {}
     for k in sorted(model):
-        frame = model[k].toPandas()
-        for lang, group in frame.groupby("lang"):
-            group = group.sort_values("gram")
-            parts.setdefault(lang, []).append((group["gram"].to_numpy(np.int64), np.log(group["p"].to_numpy(float)), np.log(group["gamma"].to_numpy(float))))
+        table = model[k].sort("lang", "gram").toArrow()
+        langs = table["lang"].combine_chunks().dictionary_encode()
+        columns = [table[c].to_numpy() for c in ("gram", "p", "gamma")]
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            at = np.flatnonzero(langs.indices.to_numpy() == i)
+            gram, p, gamma = (c[at[0] : at[-1] + 1].copy() for c in columns)
+            parts.setdefault(lang, []).append((gram.astype(np.int64), np.log(p.astype(float)), np.log(gamma.astype(float))))
+        del table, columns
     return {lang: Arrays(*map(list, zip(*x)), unseen=-math.log(len(x[0][0]) + 1)) for lang, x in parts.items()}
 
 
@@ -223,7 +228,7 @@ def log_perplexities(docs: DataFrame, model: dict[int, DataFrame], max_entries:
 
 def _typed(rows: list[tuple]) -> pd.DataFrame:
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_ppl"]
-    return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "log_ppl": float} | {c: "Int64" for c in names[2:7]})
+    return settled(pd.DataFrame(rows, columns=names)).astype({"doc_id": "Int64", "log_ppl": float} | {c: "Int64" for c in names[2:7]})
 
 
 def base_failed() -> Column:
