@@ -21,18 +21,18 @@ def _star(pairs: DataFrame, lower_only: bool) -> DataFrame:
         made = back.select(F.col("v").alias("a"), "m").unionByName(least.select(F.col("u").alias("a"), "m"))
     else:
         made = back.where("v > u").select(F.col("v").alias("a"), "m")
-    return made.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
+    return made.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v"))
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows node, component for every node of the links (u, v); the component is its least node.
 
     Loops and repeated links change nothing, links with a null end are ignored, no links give no rows.
-    Every round ends in a written table, so a lost executor costs one round at most.
+    Every round ends in a written table, so a lost executor costs one round at most. The links are read twice.
     """
-    pairs = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    pairs = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     for _ in range(max_rounds):
-        pairs = materialize(_star(_star(pairs, False), True), "links")
+        pairs = materialize(_star(_star(pairs, False), True).distinct(), "links")
         if pairs.select(F.col("v").alias("u")).join(pairs, "u", "left_semi").isEmpty():  # no centre is a leaf: stars alone
             break
     else:

@@ -11,7 +11,7 @@ from cheap to dear:
    scan the inverted lists of the single leading shingles, together with the light sets of comparable size.
    The boundary is where a histogram of both costs has its minimum.
 
-Members of a key (a shingle, or a pair of shingles) are first compared with one hub each, for a few rounds; pairs
+Members of a key (a shingle, or a pair of shingles) are first compared with two hubs of it; pairs
 that one component holds already need no comparison, so a group of near copies costs what its members
 cost, not its pairs. What is then still apart is compared pair by pair, so that no link is lost;
 pairs that lonely elements or parity bits prove too different are left out.
@@ -330,19 +330,20 @@ def choose_boundary(ranked: DataFrame, comparison: float = 1 / 16) -> int:
 
 
 def _keys(ranked: DataFrame, boundary: int) -> DataFrame:
-    """key, node, n, lonely, bits, heavy, pairs: what a linked pair of sets is sure to have in common.
+    """key, node, n, lonely, bits, at, heavy, pairs: what a linked pair of sets is sure to have in common.
+    `at` is the place of the key's (last) shingle in the set's order, in which the lonely ones come first.
 
     Two heavy sets, or a heavy and a light one, share a leading shingle; two light ones a pair of them.
     """
     first = lambda more: F.slice("ranked", F.lit(1), F.col("spare") + more)
     heavy = F.col("n") > boundary
     about = ("node", "n", "lonely", "bits")
-    single = ranked.where(heavy | (F.col("n") >= 0.8 * boundary)).select(F.explode(first(1)).alias("s"), *about, heavy.alias("heavy"))
-    lists = single.select(F.xxhash64(F.lit(1), "s").alias("key"), *about, "heavy", F.lit(False).alias("pairs"))
+    single = ranked.where(heavy | (F.col("n") >= 0.8 * boundary)).select(F.posexplode(first(1)).alias("i", "s"), *about, heavy.alias("heavy"))
+    lists = single.select(F.xxhash64(F.lit(1), "s").alias("key"), *about, (F.col("lonely") + F.col("i")).alias("at"), "heavy", F.lit(False).alias("pairs"))
     leads = ranked.where(~heavy).select(*about, first(2).alias("f"))
     one = leads.select(*about, "f", F.posexplode("f").alias("i", "a"))
-    both = one.select(*about, "a", F.explode(F.slice("f", F.col("i") + 2, F.greatest(F.size("f") - F.col("i") - 1, F.lit(0)))).alias("b"))
-    subsets = both.select(F.xxhash64(F.lit(2), "a", "b").alias("key"), *about, F.lit(False).alias("heavy"), F.lit(True).alias("pairs"))
+    both = one.select(*about, "i", "a", F.posexplode(F.slice("f", F.col("i") + 2, F.greatest(F.size("f") - F.col("i") - 1, F.lit(0)))).alias("j", "b"))
+    subsets = both.select(F.xxhash64(F.lit(2), "a", "b").alias("key"), *about, (F.col("lonely") + F.col("i") + F.col("j")).alias("at"), F.lit(False).alias("heavy"), F.lit(True).alias("pairs"))
     return lists.unionByName(subsets)
 
 
@@ -355,12 +356,18 @@ def _verified(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def _may_link(a: str, b: str) -> Column:
-    """No more elements differ for sure than two linked sets differ in: a ninth of both sizes together.
+    """What the size, the order and the parity bits of two sets with a common key allow.
 
-    For sure differ the lonely ones of both sets, and as many elements as parity bits."""
+    Linked sets share four ninths of both sizes together, so no more than a ninth differs: for sure the lonely ones
+    of both do, and as many elements as parity bits. And they share a key within the first places of either order
+    that a set can spare; a key further back proves nothing, and the pair meets at another.
+    """
     n = F.col(f"{a}n") + F.col(f"{b}n")
     bits = sum((F.bit_count(F.col(f"{a}bits")[i].bitwiseXOR(F.col(f"{b}bits")[i])) for i in range(4)), F.lit(0))
-    return (9 * (F.col(f"{a}lonely") + F.col(f"{b}lonely")) <= n) & (9 * bits <= n) & (F.least(F.col(f"{a}n"), F.col(f"{b}n")) * 5 >= F.greatest(F.col(f"{a}n"), F.col(f"{b}n")) * 4)
+    shared = F.floor((4 * n + 8) / 9)
+    leads = (F.col(f"{a}at") <= F.col(f"{a}n") - shared) & (F.col(f"{b}at") <= F.col(f"{b}n") - shared)
+    sizes = F.least(F.col(f"{a}n"), F.col(f"{b}n")) * 5 >= F.greatest(F.col(f"{a}n"), F.col(f"{b}n")) * 4
+    return sizes & leads & (9 * (F.col(f"{a}lonely") + F.col(f"{b}lonely")) <= n) & (9 * bits <= n)
 
 
 def _labelled(keys: DataFrame, components: DataFrame | None) -> DataFrame:
@@ -375,7 +382,7 @@ def _open(keys: DataFrame) -> DataFrame:
     return keys.join(several, "key", "left_semi")
 
 
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hub_rounds: int = 2, block: int = 1_000_000, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hub_rounds: int = 1, block: int = 1_000_000, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are A-Z lower-cased runs without ASCII white space. A document with fewer words than `width` has
@@ -390,19 +397,18 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     documents, live, buckets = _live_classes(named, block, width)
     ranked = _ordered_sets(named, live, buckets, block, width, max_broadcast_ids)
-    keys = materialize(_keys(ranked, choose_boundary(ranked)), "keys")
+    keys = _keys(ranked, choose_boundary(ranked))
 
     links = components = None
     for turn in range(hub_rounds + 1):
         keys = materialize(_open(_labelled(keys.drop("component"), components)), "keys")
         if keys.isEmpty():
             break
-        if turn < hub_rounds:  # members against one hub for each key and band of sizes: the one with most in common with others
-            band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + turn / 2)
-            banded = keys.withColumn("band", band)
-            hub = F.min(F.struct("lonely", F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "bits", "component"))
-            hubs = banded.groupBy("key", "band").agg(hub.alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-            met = banded.join(hubs, ["key", "band"]).where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
+        if turn < hub_rounds:  # members against two hubs of each key: the one with most in common with others, and any
+            about = ("node", "n", "lonely", "bits", "at", "component")
+            central, other = F.min(F.struct("lonely", F.xxhash64(F.lit(turn), "node").alias("h"), *about[:2], *about[3:])), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *about))
+            hubs = keys.groupBy("key").agg(central.alias("c"), other.alias("o")).select("key", F.explode(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in about]) for x in "co"])).alias("hub"))
+            met = keys.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
             pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:  # whatever is still apart, pair by pair
             x, y = keys.alias("x"), keys.alias("y")
@@ -410,21 +416,21 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.", "y.")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         found = materialize(_verified(pairs.distinct(), ranked), "verified")
         links = found if links is None else links.unionByName(found)
-        components = materialize(connected_components(links), "components")
+        components = connected_components(links)
 
     node = F.coalesce("least", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("high", "low"), 3))
     classes = documents.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", node)
     text = F.struct("high", "low")
-    reused = materialize(documents.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id"), "reused")
+    reused = documents.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("doc_id")
     if not reused.isEmpty():  # ids that stand for several texts join their classes
         through = documents.join(reused, "doc_id").join(classes, ["high", "low"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
         links = through if links is None else links.unionByName(through)
-        components = materialize(connected_components(links), "components")
+        components = connected_components(links)
     if components is not None:
         classes = classes.join(components, "node", "left")
     else:
         classes = classes.withColumn("component", F.lit(None).cast("long"))
     name = F.coalesce("component", "least")
     special = classes.where("copies > 1 or component is not null").select("high", "low", F.when(name < NO_ID, name).alias("component_id"), F.lit(True).alias("found"))
-    out = salted_lookup(documents, materialize(special, "named"), ["high", "low"])
+    out = salted_lookup(documents, special, ["high", "low"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
