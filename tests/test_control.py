@@ -186,3 +186,15 @@ def test_service_keeps_tenants_apart(setup):
             call()
         assert e.value.status == status
     assert service.health()["status"] == "ok"
+
+
+def test_migrations_run_once_and_must_not_change(setup):
+    from feedweir.control import migrations
+
+    store, _, clock = setup
+    ran = []
+    steps = {"0002_b": lambda s: ran.append("b"), "0001_a": lambda s: ran.append("a")}
+    assert migrations.migrate(store, steps, clock) == ["0001_a", "0002_b"] and ran == ["a", "b"]
+    assert migrations.migrate(store, steps, clock) == [] and list(migrations.applied(store)) == ["0001_a", "0002_b"]
+    with pytest.raises(migrations.ChangedMigration):
+        migrations.migrate(store, {"0001_a": lambda s: None}, clock)
