@@ -27,9 +27,9 @@ def plain(v):
 def test_equals_sql(spark, duck, name):
     frame, found = catalog.QUERIES[name](spark, DATA), duck.sql(catalog.ORACLES[name])
     assert sorted(frame.columns) == sorted(found.columns)
-    ours = sorted(tuple(plain(r[c]) for c in sorted(frame.columns)) for r in map(lambda r: r.asDict(), frame.collect()))
+    ours = sorted(repr(tuple(plain(r[c]) for c in sorted(frame.columns))) for r in map(lambda r: r.asDict(), frame.collect()))
     at = [found.columns.index(c) for c in sorted(found.columns)]
-    assert ours == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+    assert ours == sorted(repr(tuple(plain(r[i]) for i in at)) for r in found.fetchall())
 
 
 def test_every_query_has_sql():
