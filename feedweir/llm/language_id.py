@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import ascii_lower, materialize, salted_lookup, settled, workers_import_here
+from feedweir.llm.common import ascii_lower, frugal, materialize, salted_lookup, settled, workers_import_here
 
 BUCKETS = 1 << 15
 UND = "und"
@@ -56,7 +56,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pd.DataFrame({"lang": pd.Series([lang] * len(at), dtype=object), "bucket": at, "n": n[at]})
 
     clean = labelled.select("lang", "text").where("lang <> '' and text <> ''")
-    counted = materialize(clean.mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    counted = materialize(clean.mapInPandas(frugal(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     languages = sorted(r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: the labels are not languages")
@@ -101,7 +101,7 @@ def identify(
             yield settled(f[[*keys, "markup", "host"]].assign(logs=text, has_text=[any(x) for x in text]))
 
     named = records.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.substring_index(F.substring_index(ascii_lower(F.coalesce("markup", F.lit(""))), "-", 1), "_", 1).alias("markup"), F.coalesce("host", F.lit("")).alias("host"))
-    scored = materialize(named.mapInPandas(read, f"{types}{', ' if types else ''}markup string, host string, logs array<double>, has_text boolean"), "text-evidence")
+    scored = materialize(named.mapInPandas(frugal(read), f"{types}{', ' if types else ''}markup string, host string, logs array<double>, has_text boolean"), "text-evidence")
     names = F.array(*map(F.lit, languages))
     heard = scored.withColumn("text_lang", F.when(F.col("has_text"), _argmax(F.col("logs"), names)).otherwise(F.lit(UND)))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import few, materialize, salted_lookup, workers_import_here
+from feedweir.llm.common import few, frugal, materialize, salted_lookup, workers_import_here
 from feedweir.llm.components import connected_components
 
 #: Odd multipliers that mix the word hashes of a window (fixed values).
@@ -282,7 +282,7 @@ def _live_classes(docs: DataFrame, block: int, width: int) -> tuple[DataFrame, D
     buckets for their hashes."""
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (int(text_bytes / 15) // 1_000_000).bit_length())
-    scan = materialize(docs.select("doc_id", "text").mapInArrow(_scan(buckets, block, width), SCAN_DDL), "scan")
+    scan = materialize(docs.select("doc_id", "text").mapInArrow(frugal(_scan(buckets, block, width)), SCAN_DDL), "scan")
     documents = scan.where("kind = 0").select("doc_id", "n", "high", "low")
     within = scan.where("kind = 1").groupBy("low").agg(F.max("n").alias("n"))
     across = scan.where("kind = 2").select("bucket", "hashes", "owners", "runs").groupBy("bucket").applyInArrow(_count_shared(buckets), "part int, lows binary, counts binary")
@@ -299,7 +299,7 @@ def _ordered_sets(docs: DataFrame, live: DataFrame, buckets: int, block: int, wi
     (lonely) are no one else's; and how many of the ranked ones a partner may lack. Only sets that can have a partner."""
     ids = few(live.select(F.col("sample_id").alias("_id")).distinct(), max_broadcast_ids)
     wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    posted = materialize(wanted.select("text").mapInArrow(_post(buckets, block, width), POST_DDL), "posted")
+    posted = materialize(wanted.select("text").mapInArrow(frugal(_post(buckets, block, width)), POST_DDL), "posted")
     meta = posted.where("low is not null").select("high", "low", "bits").dropDuplicates(["high", "low"])
     packed = posted.where("bucket is not null").select("bucket", "hashes", "owners", "runs").groupBy("bucket").applyInArrow(_frequencies(buckets), "part int, owners binary, runs binary, hashes binary, sets binary")
     ranked = packed.groupBy("part").applyInArrow(_rank, "low long, ranked array<long>, sets array<int>")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, settled, workers_import_here
+from feedweir.llm.common import frugal, materialize, settled, workers_import_here
 from feedweir.llm.ngram_join import MIX
 
 ORDER, BITS = 5, 12
@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = char_grams(text.as_py())
             parts.append(grams)
             size += len(grams)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 yield out(lang, parts)
                 parts, size = [], 0
             held[lang] = (parts, size)
@@ -112,7 +112,7 @@ def fit(docs: DataFrame) -> dict[int, DataFrame]:
     """order -> (lang, gram, p, gamma): interpolated probabilities, and the weight of a gram as a context of the
     order above (null if it never is one). `docs` has lang and text without nulls."""
     spark = docs.sparkSession
-    top = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
+    top = docs.select("lang", "text").mapInArrow(frugal(_count), "lang string, gram long, n long")
     levels = {ORDER: materialize(top.groupBy("lang", "gram").agg(F.sum("n").alias("a")), "grams")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
@@ -208,7 +208,7 @@ def log_perplexities(docs: DataFrame, model: dict[int, DataFrame], max_entries:
             yield _typed(rows)
 
     if fits:
-        return docs.mapInPandas(score, schema)
+        return docs.mapInPandas(frugal(score), schema)
 
     def parts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, at = TaskContext.get().partitionId() << 33, 0
