@@ -15,10 +15,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import ascii_lower, frugal, materialize, salted_lookup, settled, workers_import_here
+from feedweir.llm.common import ascii_lower, frugal, materialize, salted_lookup, workers_import_here
 
 BUCKETS = 1 << 15
 UND = "und"
@@ -89,19 +90,20 @@ def identify(
     shared = records.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
     types = ", ".join(f"`{c}` {t}" for c, t in records.dtypes if c in keys)
 
-    def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        logs = shared.value
-        for f in frames:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs, others = shared.value, [*keys, "markup", "host"]
+        for batch in batches:
             text = []
-            for t in f["text"]:
-                buckets = trigram_buckets(t)
+            for t in batch.column("text"):  # one text at a time
+                buckets = trigram_buckets(t.as_py())
                 n = len(buckets)
                 total = logs[buckets].sum(axis=0, dtype=np.float64) * (min(n, TEMPER) / n) if n else np.zeros(size)
                 text.append((total - total.max()).tolist())
-            yield settled(f[[*keys, "markup", "host"]].assign(logs=text, has_text=[any(x) for x in text]))
+            made = [pa.array(text, pa.list_(pa.float64())), pa.array([any(x) for x in text], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *made], [*others, "logs", "has_text"])
 
     named = records.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.substring_index(F.substring_index(ascii_lower(F.coalesce("markup", F.lit(""))), "-", 1), "_", 1).alias("markup"), F.coalesce("host", F.lit("")).alias("host"))
-    scored = materialize(named.mapInPandas(frugal(read), f"{types}{', ' if types else ''}markup string, host string, logs array<double>, has_text boolean"), "text-evidence")
+    scored = materialize(named.mapInArrow(frugal(read), f"{types}{', ' if types else ''}markup string, host string, logs array<double>, has_text boolean"), "text-evidence")
     names = F.array(*map(F.lit, languages))
     heard = scored.withColumn("text_lang", F.when(F.col("has_text"), _argmax(F.col("logs"), names)).otherwise(F.lit(UND)))
 

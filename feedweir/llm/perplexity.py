@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams = char_grams(text.as_py())
             parts.append(grams)
             size += len(grams)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield out(lang, parts)
                 parts, size = [], 0
             held[lang] = (parts, size)
@@ -198,17 +198,20 @@ def log_perplexities(docs: DataFrame, model: dict[int, DataFrame], max_entries:
     fits = sum(model[k].count() for k in model) <= max_entries
     shared = spark.sparkContext.broadcast(to_arrays(model)) if fits else None
 
-    def score(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = shared.value
-        for f in frames:
+        types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
+        for batch in batches:
             rows = []
-            for doc_id, lang, text in zip(f["doc_id"].astype(object), f["lang"], f["text"]):
+            for doc_id, lang, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                text = value.as_py()  # one text at a time
                 counts = counts_of(text)
                 rows.append((doc_id, lang, *counts, -arrays[lang].log_sum(char_grams(text)) / counts[0] if counts[0] else None))
-            yield _typed(rows)
+            columns = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in schema.split(", ")])
 
     if fits:
-        return docs.mapInPandas(frugal(score), schema)
+        return docs.select("doc_id", "lang", "text").mapInArrow(frugal(score), schema)
 
     def parts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, at = TaskContext.get().partitionId() << 33, 0
