@@ -339,7 +339,7 @@ def unnest_arrays(spark, d):
 
 _IMPORTS_SQL = """imports as (select cast(o_orderkey as varchar) as id, 'M' || (o_custkey % 10) as merchant_id, o_orderdate as created_at,
   case o_orderkey % 5 when 0 then 'queued' when 1 then 'processing' when 2 then 'completed' when 3 then 'failed' else 'cancelled' end as status, o_orderkey % 7 = 0 as cancel_requested,
-  case when o_orderkey % 3 = 0 then null else o_orderdate + interval 30 day end as lease_expires_at, cast(o_totalprice as bigint) as size_bytes, cast(o_totalprice * (o_custkey % 13) / 9 as bigint) as bytes_processed from orders)"""
+  case when o_orderkey % 3 = 0 then null else o_orderdate + interval 30 day end as lease_expires_at, cast(floor(o_totalprice) as bigint) as size_bytes, cast(floor(o_totalprice * (o_custkey % 13) / 9) as bigint) as bytes_processed from orders)"""
 
 
 def _imports(spark, d) -> DataFrame:
@@ -348,7 +348,7 @@ def _imports(spark, d) -> DataFrame:
     return _t(spark, d, "orders").select(
         key.cast("string").alias("id"), F.concat(F.lit("M"), (F.col("o_custkey") % 10).cast("string")).alias("merchant_id"), F.col("o_orderdate").alias("created_at"), status.alias("status"),
         (key % 7 == 0).alias("cancel_requested"), F.when(key % 3 != 0, F.expr("o_orderdate + interval 30 days")).alias("lease_expires_at"),
-        F.round("o_totalprice").cast("long").alias("size_bytes"), F.round(F.col("o_totalprice") * (F.col("o_custkey") % 13) / 9).cast("long").alias("bytes_processed"),
+        F.floor("o_totalprice").cast("long").alias("size_bytes"), F.floor(F.col("o_totalprice") * (F.col("o_custkey") % 13) / 9).cast("long").alias("bytes_processed"),
     )
 
 
