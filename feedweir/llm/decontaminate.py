@@ -3,7 +3,8 @@
 A seed is the hash of some of the tokens of a window, chosen by a fixed mask; tokens under the holes of the
 mask may differ. Windows of documents meet windows of benchmark items by seed; each meeting fixes an
 alignment, and along it the best local match is scored: a point for an equal token, two off for a
-different one. A document is contaminated by an item if that score is high enough for the item's length.
+different one. A document is contaminated by an item if that score is high enough for the item's length. Two off
+undo what the masks tolerate, so `near` also scores with half a point off, against a floor that chance does not reach.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ def _seeds(frame: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> Da
     return windows.select(key, "at", seed.alias("seed"))
 
 
-def best_score(a: Column, b: Column) -> Column:
-    """The highest sum over a run of aligned tokens: 1 for equal, -2 for different."""
-    points = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: F.when(p["a"] == p["b"], 1).otherwise(-2))
+def best_score(a: Column, b: Column, equal: int = 1, different: int = -2) -> Column:
+    """The highest sum over a run of aligned tokens: `equal` or `different` for each."""
+    points = F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda p: F.when(p["a"] == p["b"], equal).otherwise(different))
     zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
     step = lambda s, p: F.struct(F.greatest(s["now"] + p, F.lit(0)).alias("now"), F.greatest(s["best"], s["now"] + p).alias("best"))
     return F.aggregate(points, zero, step, lambda s: s["best"])
@@ -49,6 +50,7 @@ def best_score(a: Column, b: Column) -> Column:
 def find_overlaps(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     masks: tuple[tuple[int, ...], ...] = MASKS, min_score: int = 13, min_share: float = 0.6, max_broadcast_rows: int = 1_000_000,
+    near: bool = False,
 ) -> DataFrame:
     """Rows doc_id, item_id, score, item_words of the contaminated pairs, one per pair.
 
@@ -57,6 +59,10 @@ def find_overlaps(
     window and match nothing, like null or empty texts. Rows that share an id are one document; null ids
     pair up as one. An empty table on either side gives no rows. Extra columns are ignored.
 
+    With `near` a pair also counts if its best score at half a point off is at least the lesser of `min_score` and
+    half the item's number of tokens, and at least 7.5: a whole item of 15 tokens or more with every third, fourth,
+    fifth or later token replaced reaches that. The score given stays the one above, so such pairs show low ones.
+
     Seeds of the benchmark, its items and the alignments found are counted: up to `max_broadcast_rows` rows
     they are broadcast to the documents; beyond it the joins shuffle.
     """
@@ -72,9 +78,13 @@ def find_overlaps(
     sizes = items.select("item_id", F.size("words").alias("item_size"), F.col("words").alias("item_words"))
     aligned = both.join(few(sizes, max_broadcast_rows), "item_id").select("doc_id", "item_id", "item_size", F.slice("item_words", skipped + 1, F.col("item_size")).alias("a"), region.alias("b"))
     shorter = F.least(F.size("a"), F.size("b"))
-    scored = aligned.select("doc_id", "item_id", F.col("item_size").cast("long").alias("item_words"), best_score(F.slice("a", F.lit(1), shorter), F.slice("b", F.lit(1), shorter)).cast("long").alias("score"))
-    needed = F.least(F.lit(min_score), F.ceil(F.lit(min_share) * F.col("item_words")))
-    return scored.where(F.col("score") >= needed).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_words").alias("item_words"))
+    sides = F.slice("a", F.lit(1), shorter), F.slice("b", F.lit(1), shorter)
+    halves = best_score(*sides, 2, -1) if near else F.lit(0)
+    scored = aligned.select("doc_id", "item_id", F.col("item_size").cast("long").alias("item_words"), best_score(*sides).cast("long").alias("score"), halves.alias("halves"))
+    enough = F.col("score") >= F.least(F.lit(min_score), F.ceil(F.lit(min_share) * F.col("item_words")))
+    if near:
+        enough |= F.col("halves") >= F.greatest(F.lit(15), F.least(F.lit(2 * min_score), F.col("item_words")))
+    return scored.where(enough).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_words").alias("item_words"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

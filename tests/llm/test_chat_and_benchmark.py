@@ -103,6 +103,17 @@ def test_substitutions_at_every_third_or_later_token_are_caught(spark):
     assert {d for d, *_ in overlaps(spark, docs, [(1, " ".join(item))], min_score=8)} == {4, 5, 6, 9}
 
 
+def test_near_copies_of_items_are_caught_at_the_default_scores(spark):
+    items = [(n, " ".join(f"i{n}t{j}" for j in range(n))) for n in (15, 16, 17, 18, 20, 25, 28, 43, 59)]
+    cases = [(n, t, p, r) for n, t in items for p in (3, 4, 5, 6) for r in range(p)]
+    docs = [(d, "before this " + " ".join("zz" if j % p == r else w for j, w in enumerate(t.split())) + " and after") for d, (_, t, p, r) in enumerate(cases, 1)]
+    docs += [(1000 + n, "before " + " ".join(t.split()[:7]) + " after " * 60) for n, t in items]  # seven equal tokens: chance
+    found = {(d, n) for d, n, *_ in overlaps(spark, docs, items, near=True)}
+    assert found == {(d, n) for d, (n, *_) in enumerate(cases, 1)}
+    assert {d for d, *_ in overlaps(spark, docs, items)} < set(range(1, len(cases) + 1))
+    assert found == {(d, n) for d, n, *_ in overlaps(spark, docs, items, near=True, max_broadcast_rows=-1)}
+
+
 def test_decontamination_edges(spark):
     item = " ".join(f"t{i}" for i in range(20))
     docs = [(None, item), (None, "fine"), (1, item.upper()), (1, item), (2, None), (3, ""), (4, "x " * 30_000 + item), (5, "clean text here")]
