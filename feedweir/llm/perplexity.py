@@ -6,7 +6,8 @@ Spark counts the highest order over all documents and derives the lower orders,
 interpolated probabilities; scoring reads sorted arrays of n-grams. A model beyond the stated size is joined
 with the documents' own n-gram counts instead. Perplexity is per word: the characters' negative log
 probabilities over the number of words. A document is rejected if its perplexity lies outside
-the band of its language, which the quartiles of all documents that pass the counts define.
+the band of its language, which the quartiles of all documents that pass the counts define. The lower bound
+has its own spread, for low values are near; it widens for short texts, whose means scatter more.
 """
 
 from __future__ import annotations
@@ -241,17 +242,23 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 5.0, least_width: float = 0.5, max_entries: int = 20_000_000) -> DataFrame:
     """Rows doc_id, lang, the five counts, log_ppl, base_failed, kept for every row.
 
-    kept is false if the counts fail; else it says whether log_ppl lies in its language's band: the quartiles
-    of all rows of that language that pass the counts, widened on either side by `fence` times their distance and
-    by `least_width` at least. Null texts count as empty, null languages as one language "". Repeated
+    kept is false if the counts fail; else it says whether log_ppl lies in its language's band, from all rows of
+    that language that pass the counts. Upper bound: the upper quartile and `fence` times the quartiles' distance.
+    Lower bound: the median less `fence` times s / sqrt(n_words), where s is the upper quartile of
+    (median - log_ppl) * sqrt(n_words). Either margin is `least_width` at least. Null texts count as empty, null languages as one language "". Repeated
     rows and null ids are judged as they come; an empty table gives no rows; extra columns are ignored.
     """
     workers_import_here(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = materialize(log_perplexities(named, fit(named), max_entries).withColumn("base_failed", base_failed()), "scored")
-    bands = scored.where("not base_failed").groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.75], 10_000).alias("q"))
-    margin = F.greatest(F.lit(fence) * (F.col("q")[1] - F.col("q")[0]), F.lit(least_width))
-    bounds = bands.select("lang", (F.col("q")[0] - margin).alias("lower"), (F.col("q")[1] + margin).alias("upper"))
-    judged = scored.join(F.broadcast(bounds) if bounds.count() <= 10_000 else bounds, "lang", "left")
+    passed = scored.where("not base_failed")
+    bands = materialize(passed.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q")), "bands")
+    small = bands.count() <= 10_000
+    below = (F.col("q")[1] - F.col("log_ppl")) * F.sqrt("n_words")
+    spreads = passed.join(F.broadcast(bands) if small else bands, "lang").groupBy("lang").agg(F.percentile_approx(below, 0.75, 10_000).alias("s"))
+    margin = F.greatest(F.lit(fence) * (F.col("q")[2] - F.col("q")[0]), F.lit(least_width))
+    bounds = materialize(bands.join(spreads, "lang").select("lang", F.col("q")[1].alias("mid"), "s", (F.col("q")[2] + margin).alias("upper")), "bounds")
+    lower = F.col("mid") - F.greatest(F.lit(fence) * F.col("s") / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(least_width))
+    judged = scored.join(F.broadcast(bounds) if small else bounds, "lang", "left").withColumn("lower", lower)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "log_ppl", "lower", "upper")

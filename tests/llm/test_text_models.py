@@ -103,6 +103,27 @@ def test_quality_keeps_clean_documents(spark):
     assert rows.get((1, False), 0) <= 0.01 * rows[1, True]
 
 
+def test_a_too_predictable_document_is_rejected(spark):
+    draw = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    vocabulary = ["".join(draw.choice(syllables) for _ in range(draw.randint(2, 4))) for _ in range(3000)]
+    common = [1 / (i + 1) for i in range(3000)]
+    # a third of the texts has rarer words, so the quartiles lie far apart, as in real corpora
+    rows = [(i, " ".join(draw.choices(vocabulary, None if i % 3 == 0 else common, k=draw.randint(60, 600)))) for i in range(300)]
+    rows += [(1000, " ".join(draw.choices(vocabulary[:40], k=400)))]
+    judged = perplexity.judge(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"] for r in judged if not r["kept"]} == {1000}
+    low = next(r for r in judged if r["doc_id"] == 1000)
+    assert not low["base_failed"] and low["log_ppl"] < low["lower"]
+
+
+@needs_data
+def test_the_lower_band_rejects_junk(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    low = perplexity.judge(docs).where("not base_failed and log_ppl < lower").join(labels, "doc_id").groupBy("quality").count()
+    assert {r["quality"]: r["count"] for r in low.collect()}.get(0, 0) >= 4
+
+
 @needs_data
 def test_languages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
