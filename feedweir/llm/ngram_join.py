@@ -11,14 +11,16 @@ from cheap to dear:
    scan the inverted lists of the single leading shingles, together with the light sets of comparable size.
    The boundary is where a histogram of both costs has its minimum.
 
-Members of a key (a shingle, or a pair of shingles) are first compared with two hubs of it; pairs
-that one component holds already need no comparison, so a group of near copies costs what its members
-cost, not its pairs. What is then still apart is compared pair by pair, so that no link is lost;
-pairs that lonely elements or parity bits prove too different are left out.
+Members of a list are first compared with two hubs of it, for as many rounds as that closes a good part of the lists;
+a list that one component holds as a whole needs no comparison, so a group of near copies costs what its members
+cost, not its pairs. The size-aware join takes the lists that are still open, so that no link is lost. In a list, the
+smaller set of a linked pair has it among its first ninth, so texts around a common passage are no
+candidates just because each has it further back. Pairs that lonely elements or parity bits prove too different are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -309,17 +311,67 @@ def _ordered_sets(docs: DataFrame, live: DataFrame, buckets: int, block: int, wi
     return materialize(found.select("node", "n", "bits", "ranked", "sets", lonely.alias("lonely")).withColumn("spare", spare).where("spare >= 0"), "ranked")
 
 
-def choose_boundary(ranked: DataFrame, comparison: float = 1 / 16) -> int:
-    """The size up to which enumerating pairs of leading shingles costs less than scanning lists.
+def _lists(ranked: DataFrame) -> DataFrame:
+    """key, node, n, lonely, bits, at, most, later: the inverted lists of the leading shingles.
 
-    Costs are in rows made: light sets make a row for each pair of leading shingles; heavy ones a row for each leading
-    shingle, and compare with that shingle's list, at `comparison` of a row each. Sizes are binned by
+    `at` is the shingle's place in the set's order, in which the lonely ones come first. Linked sets share four ninths
+    of both sizes together, all from the first shared shingle on; so if that is this one, a partner has
+    `most` elements at most. An entry whose set is the smaller one of a pair has `most` >= n. `later` counts the
+    shingles that can follow this one in a pair of them.
+    """
+    about = ("node", "n", "lonely", "bits")
+    pairable = F.least(F.size("ranked"), F.col("spare") + 2).alias("pairable")
+    rows = ranked.select(F.posexplode(F.slice("ranked", F.lit(1), F.col("spare") + 1)).alias("i", "key"), *about, pairable)
+    at = F.col("lonely") + F.col("i")
+    return rows.select("key", *about, at.alias("at"), _most(at).alias("most"), (F.col("pairable") - F.col("i") - 1).alias("later"))
+
+
+def _most(at: Column) -> Column:
+    return F.floor((F.col("n") - at) * 9 / 4) - F.col("n")
+
+
+def _smaller() -> Column:
+    """The set can be the smaller one of a pair that meets first at this entry."""
+    return F.col("most") >= F.col("n")
+
+
+def _labelled(entries: DataFrame, components: DataFrame | None) -> DataFrame:
+    if components is None:
+        return entries.withColumn("component", F.col("node"))
+    return entries.drop("component").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open(entries: DataFrame) -> DataFrame:
+    """The lists that can still hide links: those with members of two components, one of which can be a pair's smaller set.
+
+    Sets that share a passage, but have more than a ninth of their own before it, close their list here."""
+    least = F.min(F.when(_smaller(), F.col("n")))
+    several = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), least.alias("least"), F.max("most").alias("reach"))
+    return entries.join(several.where("low <> high and least <= reach").select("key"), "key", "left_semi")
+
+
+def _hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
+    """Candidates (a, b): members of each list against two of its smaller sets, the one with most in common with others, and any."""
+    about = ("node", "n", "lonely", "bits", "at", "most", "component")
+    any_one = F.xxhash64(F.lit(turn), "node").alias("h")
+    central, other = F.min(F.struct("lonely", any_one, *(c for c in about if c != "lonely"))), F.min(F.struct(any_one, *about))
+    hubs = entries.where(_smaller()).groupBy("key").agg(central.alias("c"), other.alias("o"))
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in about]) for x in "co"]))).alias("hub"))
+    met = entries.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def choose_boundary(entries: DataFrame, comparison: float = 1 / 16) -> int:
+    """The size up to which enumerating pairs of shingles costs less than scanning lists, of open lists alone.
+
+    Costs are in rows made: light sets make a row for each pair of an open leading shingle and a later one; heavy ones a
+    row for each open shingle, compared with the rest of its list at `comparison` of a row each. Sizes are binned by
     eighths of a power of two, so the driver reads a few hundred rows at most.
     """
-    light = (F.col("spare") + 2) * (F.col("spare") + 1) / 2
-    listed = F.aggregate(F.slice("sets", F.lit(1), F.col("spare") + 1), F.lit(0).cast("long"), lambda s, x: s + x)
+    priced = entries.join(entries.groupBy("key").agg(F.count("*").alias("listed")), "key")
     step = F.floor(F.log2("n") * 8).cast("int")
-    rows = sorted(map(tuple, ranked.groupBy(step.alias("step")).agg(F.max("n"), F.sum(light), F.sum(F.col("spare") + 1 + comparison * listed)).collect()))
+    heavy = 1 + comparison * F.when(_smaller(), F.col("listed")).otherwise(F.lit(0))
+    rows = sorted(map(tuple, priced.groupBy(step.alias("step")).agg(F.max("n"), F.sum("later"), F.sum(heavy)).collect()))
     boundary, cost = 0, sum(h for *_, h in rows)
     best = cost
     for _, top, l, h in rows:
@@ -329,22 +381,29 @@ def choose_boundary(ranked: DataFrame, comparison: float = 1 / 16) -> int:
     return boundary
 
 
-def _keys(ranked: DataFrame, boundary: int) -> DataFrame:
-    """key, node, n, lonely, bits, at, heavy, pairs: what a linked pair of sets is sure to have in common.
-    `at` is the place of the key's (last) shingle in the set's order, in which the lonely ones come first.
+def _size_aware_pairs(entries: DataFrame, ranked: DataFrame, boundary: int) -> DataFrame:
+    """Candidates (a, b) of open lists: all pairs that can be linked.
 
-    Two heavy sets, or a heavy and a light one, share a leading shingle; two light ones a pair of them.
+    Heavy sets, those above the boundary, meet whatever shares a leading shingle; two light ones share a pair of shingles,
+    whose first is of an open list. Members are dealt by bands of a quarter in size, and the smaller set of a pair
+    must be one that its place allows, so no list is joined with itself as a whole.
     """
-    first = lambda more: F.slice("ranked", F.lit(1), F.col("spare") + more)
+    about = ("key", "node", "n", "lonely", "bits", "at", "most", "component")
     heavy = F.col("n") > boundary
-    about = ("node", "n", "lonely", "bits")
-    single = ranked.where(heavy | (F.col("n") >= 0.8 * boundary)).select(F.posexplode(first(1)).alias("i", "s"), *about, heavy.alias("heavy"))
-    lists = single.select(F.xxhash64(F.lit(1), "s").alias("key"), *about, (F.col("lonely") + F.col("i")).alias("at"), "heavy", F.lit(False).alias("pairs"))
-    leads = ranked.where(~heavy).select(*about, first(2).alias("f"))
-    one = leads.select(*about, "f", F.posexplode("f").alias("i", "a"))
-    both = one.select(*about, "i", "a", F.posexplode(F.slice("f", F.col("i") + 2, F.greatest(F.size("f") - F.col("i") - 1, F.lit(0)))).alias("j", "b"))
-    subsets = both.select(F.xxhash64(F.lit(2), "a", "b").alias("key"), *about, (F.col("lonely") + F.col("i") + F.col("j")).alias("at"), F.lit(False).alias("heavy"), F.lit(True).alias("pairs"))
-    return lists.unionByName(subsets)
+    lists = entries.where(heavy | (F.col("n") >= 0.8 * boundary)).select(*about, heavy.alias("heavy"), F.lit(False).alias("pairs"))
+    opened = entries.where(~heavy).join(ranked.select("node", F.slice("ranked", F.lit(1), F.col("spare") + 2).alias("f")), "node")
+    i = F.col("at") - F.col("lonely")
+    both = opened.select("key", "node", "n", "lonely", "bits", "component", i.alias("i"), F.posexplode(F.slice("f", i + 2, F.greatest(F.size("f") - i - 1, F.lit(0)))).alias("j", "b"))
+    at = F.col("lonely") + F.col("i") + F.col("j")  # the second shingle's place less one: what may still be shared besides the first
+    subsets = both.select(F.xxhash64("key", "b").alias("key"), "node", "n", "lonely", "bits", at.alias("at"), _most(at).alias("most"), "component", F.lit(False).alias("heavy"), F.lit(True).alias("pairs"))
+    every = lists.unionByName(subsets)
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("int")
+    small = every.where(_smaller()).withColumn("band", band)
+    large = every.withColumn("band", F.explode(F.array(band, band - 1)))
+    x, y = small.alias("x"), large.alias("y")
+    ordered = "x.component <> y.component and (x.n < y.n or x.n = y.n and x.node < y.node) and (x.pairs or x.heavy or y.heavy) and x.pairs = y.pairs and y.n <= x.most and x.n <= y.most"
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & F.expr(ordered) & _may_link("x.", "y."))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -370,19 +429,7 @@ def _may_link(a: str, b: str) -> Column:
     return sizes & leads & (9 * (F.col(f"{a}lonely") + F.col(f"{b}lonely")) <= n) & (9 * bits <= n)
 
 
-def _labelled(keys: DataFrame, components: DataFrame | None) -> DataFrame:
-    if components is None:
-        return keys.withColumn("component", F.col("node"))
-    return keys.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _open(keys: DataFrame) -> DataFrame:
-    """Keys with members of two components: only those can still hide links."""
-    several = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("heavy") | F.col("pairs")).alias("ok")).where("low <> high and ok").select("key")
-    return keys.join(several, "key", "left_semi")
-
-
-def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hub_rounds: int = 1, block: int = 1_000_000, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, hub_rounds: int | None = None, block: int = 400_000, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Words are A-Z lower-cased runs without ASCII white space. A document with fewer words than `width` has
@@ -391,32 +438,29 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     the links, each with a row of its own; a null id is never a component's name, a component of null ids alone is null.
     Ids must lie below 2**62. Extra columns are ignored; an empty table gives no rows.
 
-    Sets are compared by 64-bit hashes of their shingles.
+    Texts are read whole, however long; a task holds the shingles of `block` places of text and of one text more. Repeated
+    rows are linked with each other. Sets are compared by 64-bit hashes of their shingles. `hub_rounds` bounds the rounds in
+    which lists are compared with hubs alone; the result does not depend on it.
     """
     workers_import_here(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     documents, live, buckets = _live_classes(named, block, width)
     ranked = _ordered_sets(named, live, buckets, block, width, max_broadcast_ids)
-    keys = _keys(ranked, choose_boundary(ranked))
-
-    links = components = None
-    for turn in range(hub_rounds + 1):
-        keys = materialize(_open(_labelled(keys.drop("component"), components)), "keys")
-        if keys.isEmpty():
+    entries, links, components = _lists(ranked), None, None
+    before, turn = math.inf, 0
+    while True:
+        entries = materialize(_open(_labelled(entries, components)), "lists")
+        left = entries.count()
+        if not left:
             break
-        if turn < hub_rounds:  # members against two hubs of each key: the one with most in common with others, and any
-            about = ("node", "n", "lonely", "bits", "at", "component")
-            central, other = F.min(F.struct("lonely", F.xxhash64(F.lit(turn), "node").alias("h"), *about[:2], *about[3:])), F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), *about))
-            hubs = keys.groupBy("key").agg(central.alias("c"), other.alias("o")).select("key", F.explode(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in about]) for x in "co"])).alias("hub"))
-            met = keys.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
-            pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        else:  # whatever is still apart, pair by pair
-            x, y = keys.alias("x"), keys.alias("y")
-            apart = F.expr("x.node < y.node and x.component <> y.component and (x.pairs or x.heavy or y.heavy)")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x.", "y.")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        found = materialize(_verified(pairs.distinct(), ranked), "verified")
+        last = left > 0.7 * before or turn == hub_rounds  # hubs close few lists by now: compare what is left
+        pairs = _size_aware_pairs(entries, ranked, choose_boundary(entries)) if last else _hub_pairs(entries, turn)
+        found = materialize(_verified(pairs, ranked), "verified")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links)
+        if last:
+            break
+        before, turn = left, turn + 1
 
     node = F.coalesce("least", F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("high", "low"), 3))
     classes = documents.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).withColumn("node", node)
