@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import frugal, materialize, workers_import_here
+from feedweir.llm.common import frugal, materialize, prepare_workers
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk int, rank long"
 
@@ -178,7 +178,7 @@ def pack_documents(
     number of bins and their fill do not.
     """
     spark = docs.sparkSession
-    workers_import_here(spark)
+    prepare_workers(spark)
     schema = PIECES + (", ids array<int>" if keep_ids else "")
     pieces = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(_pieces(tokenizer, end_id, capacity, keep_ids)), schema), "pieces")
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20)
+
 #: ASCII white space, as the word patterns of the operators see it.
 SPACES = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_import_here(spark: SparkSession) -> None:
-    """Let Python workers import this package where the folder is visible to them.
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package where the folder is visible to them, and bound what goes to them at once.
 
-    On a cluster without a common file system, ship the package with --py-files.
+    On a cluster without a common file system, ship the package with --py-files. Batches of whole texts are buffered outside the
+    heap on both sides, so unless the session says otherwise they are cut at BATCH_BYTES.
     """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if REPOSITORY not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [REPOSITORY, known]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import ascii_lower, frugal, materialize, salted_lookup, workers_import_here
+from feedweir.llm.common import ascii_lower, frugal, materialize, salted_lookup, prepare_workers
 
 BUCKETS = 1 << 15
 UND = "und"
@@ -43,7 +43,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and log P(bucket | language) of rows (lang, text); the last row is "und".
 
     Null or empty languages and texts teach nothing."""
-    workers_import_here(labelled.sparkSession)
+    prepare_workers(labelled.sparkSession)
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, np.ndarray] = {}
@@ -82,7 +82,7 @@ def identify(
     if that is absent as well. kept: the language is one of `keep` (default: all trained) with at least
     `least_confidence`. Nulls are missing evidence; repeated rows are judged alike; an empty table gives no rows.
     """
-    workers_import_here(records.sparkSession)
+    prepare_workers(records.sparkSession)
     keys = [c for c in records.columns if c not in ("text", "markup", "host")]
     if len(languages) == 1:  # nothing was learnt
         return records.select(*keys, F.lit(UND).alias("lang"), F.lit(1.0).alias("confidence"), F.lit(UND).alias("text_lang"), F.lit(False).alias("kept"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import few, frugal, materialize, salted_lookup, workers_import_here
+from feedweir.llm.common import few, frugal, materialize, salted_lookup, prepare_workers
 from feedweir.llm.components import connected_components
 
 #: Odd multipliers that mix the word hashes of a window (fixed values).
@@ -442,7 +442,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows are linked with each other. Sets are compared by 64-bit hashes of their shingles. `hub_rounds` bounds the rounds in
     which lists are compared with hubs alone; the result does not depend on it.
     """
-    workers_import_here(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     documents, live, buckets = _live_classes(named, block, width)
     ranked = _ordered_sets(named, live, buckets, block, width, max_broadcast_ids)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import frugal, materialize, settled, workers_import_here
+from feedweir.llm.common import frugal, materialize, settled, prepare_workers
 from feedweir.llm.ngram_join import MIX
 
 ORDER, BITS = 5, 12
@@ -248,7 +248,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     (median - log_ppl) * sqrt(n_words). Either margin is `least_width` at least. Null texts count as empty, null languages as one language "". Repeated
     rows and null ids are judged as they come; an empty table gives no rows; extra columns are ignored.
     """
-    workers_import_here(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = materialize(log_perplexities(named, fit(named), max_entries).withColumn("base_failed", base_failed()), "scored")
     passed = scored.where("not base_failed")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedweir.llm import best_fit, chat_format, decontaminate, html_text, language_id, ngram_join, perplexity, toxicity, url_rules, warc
-from feedweir.llm.common import table, workers_import_here
+from feedweir.llm.common import table, prepare_workers
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -41,11 +41,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     out = chat_format.format_conversations(turns)
     turns = chat_format.parsed_turns(F.col("formatted"))
-    read = out.select("conv_id", turns.alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    read = out.select("conv_id", turns.alias("turns"), chat_format.loss_text(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"), "valid")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "valid",
     )
 
 
@@ -112,9 +112,12 @@ e as (
 g as (
   select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
     coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as loss,
-    sum(chars) as formatted_chars from e group by conv_id)
+    sum(chars) as formatted_chars,
+    string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' when 'tool' then 't' else 'x' end, '' order by turn nulls first, role, text) as turns
+  from e group by conv_id)
 select conv_id, cast(n_turns as bigint) as n_turns, sha256(said) as turns_sha256, cast(length(loss) as bigint) as loss_chars,
-  sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars from g
+  sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars,
+  regexp_full_match(turns, 's?ua(ua|t+a)*') as valid from g
 """
 
 _ORACLES["op9_url_filter"] = r"""
@@ -154,7 +157,7 @@ where score >= least(13, ceil(0.6 * n)) group by doc_id, item_id
 def queries() -> dict:
     def with_workers(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            workers_import_here(spark)
+            prepare_workers(spark)
             return f(spark, sf_dir)
 
         return run

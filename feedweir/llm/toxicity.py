@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, settled, workers_import_here
+from feedweir.llm.common import materialize, settled, prepare_workers
 
 WORD = re.compile(r"\w+")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -268,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clean:
     """Fit on rows that are not held out. Mining reads `max_toxic` + `max_clean` labelled rows at most, chosen by
     a hash of their ids; the linear classifier is fitted on `max_fit` of all training rows, chosen alike; votes
     are counted over all training rows. Without labels of both kinds the model scores 0 everywhere."""
-    workers_import_here(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clean:
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, held_out, score, predicted for every row; a null text counts as empty, a null id is not held out.
     Repeated rows are each scored, extra columns ignored."""
-    workers_import_here(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rate = model.scorer()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import ascii_lower, settled, workers_import_here
+from feedweir.llm.common import ascii_lower, settled, prepare_workers
 
 #: Keys that are sampled to find the bounds of the ranges; they only balance the work.
 MAX_SAMPLE = 20_000
@@ -78,7 +78,7 @@ def judge_urls(
     Extra columns are ignored. A hot host is spread over ranges by its paths; only one address that
     repeats without end stays in one range, and it is streamed, not held.
     """
-    workers_import_here(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     for host, _, verdict in rules:
         if not host or verdict not in ("allow", "block"):
             raise ValueError(f"not a rule: {host!r}, {verdict!r}")

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import materialize, new_dir, salted_lookup, settled, workers_import_here
+from feedweir.llm.common import materialize, new_dir, salted_lookup, settled, prepare_workers
 
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:web-archive-records")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -137,7 +137,7 @@ def write_archives(
     characters as %-codes. An empty table writes no file and an empty manifest. Extra columns are ignored.
     """
     spark = pages.sparkSession
-    workers_import_here(spark)
+    prepare_workers(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     sized = rows.withColumn("digest", F.sha1("payload"))
     keys = materialize(sized.select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes")), "digests")
@@ -205,7 +205,7 @@ def parse_record(raw: bytes) -> dict:
 
 def read_archives(spark: SparkSession, where: str, *, with_payload: bool = False) -> DataFrame:
     """The records of the files that the manifest lists; digests are checked. A revisit has no payload here."""
-    workers_import_here(spark)
+    prepare_workers(spark)
     schema = RECORD if with_payload else RECORD.removesuffix(", payload binary")
     names = [c.split()[0] for c in schema.split(", ")]
 

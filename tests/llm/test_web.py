@@ -17,12 +17,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 
 
 def test_article_only():
-    assert html_text.main_blocks(PAGE.format("End"), set()) == ["Title & more", "First line", "Second line <b>", "one", "two", "End"]
+    assert html_text.main_blocks(PAGE.format("End"), {}) == ["Title & more", "First line", "Second line <b>", "one", "two", "End"]
 
 
 @pytest.mark.parametrize("page", ["", "<", "plain", "<p", "<script>x", "</div></p>", "<!-- open", "<article>" * 50, "<table><tr><td>a<td>b<tr><td>c", "<![CDATA[x<y]]>", "&#xZZ;&bogus;", "<p>" * 2000])
 def test_broken_markup(page):
-    blocks = html_text.main_blocks(page, set())
+    blocks = html_text.main_blocks(page, {})
     assert all(isinstance(b, str) and b == " ".join(b.split()) and b for b in blocks)
 
 
@@ -125,3 +125,82 @@ def test_rules_equal_brute_force(spark):
     found = {r["page_id"]: tuple(r)[1:] for r in url_rules.judge_urls(docs, rules, rows_per_range=40).collect()}
     assert found == {i: judge(u) for i, u in enumerate(urls)}
     assert url_rules.judge_urls(docs.limit(0), rules).collect() == []
+
+
+def test_characters_that_grow_when_lowered_shift_nothing():
+    page = f"<p>{'İ' * 40}</p><p>x<span class='ad'>{'İ' * 9}</span></p><script>x</SCRIPT><p>abc def</p><ſcript><p>last words of the article</p>"
+    assert html_text.main_blocks(page, {}) == ["İ" * 40, "x", "abc def", "<ſcript>", "last words of the article"]
+
+
+def test_names_that_only_may_mean_noise_leave_the_verdict_to_the_tree():
+    page = '<article><p>a</p><div class="login-story"><p>b</p></div><div id="share-price">c</div><div class="cookie-notice-box">d</div><span class="social-work">e</span></article>'
+    assert html_text.main_blocks(page, {}) == ["a", "b", "c", "e"]
+    path = next(x.path for b in html_text.parse(page)[0] for x in b.branches if b.text == "b" and x.prior == "doubtful")
+    assert html_text.main_blocks(page, {path: 0.8}) == ["a", "c", "e"]
+
+
+def test_text_beside_a_small_article_is_judged_like_any():
+    main = '<div class="q"><p>The long main text of this page lies here.</p></div>'
+    assert html_text.main_blocks(f"<article>teaser</article>{main}", {}) == ["teaser", "The long main text of this page lies here."]
+
+
+@pytest.mark.parametrize("piece", ['<span class="ad">', "<a title=\"x>", "<b '", "<", "<p", "<div>x", "</div>", "<!--", "<script>", "<li>", '<div class="a"><p>', "&", "<td>", "</b class=ad>", "<span class='ad'></i>"])
+def test_a_megabyte_of_broken_markup_takes_seconds(piece):
+    import time
+
+    begin = time.time()
+    page = piece * (1_000_000 // len(piece))
+    assert html_text.main_blocks(f"<p>first</p>{page}", {})[0].startswith("first")
+    assert time.time() - begin < 20
+
+
+def brute_texts(rows, threshold, weight, min_pages):
+    """The same decisions from plain dictionaries."""
+    import math
+    from collections import defaultdict
+
+    pages = defaultdict(set)
+    for host, page in rows:
+        for h, path, kind, feature, signature in html_text.style_rows(host, page):
+            pages[h, path, kind, feature].add(signature)
+    by_node = defaultdict(lambda: ([], []))
+    for (h, path, kind, _), seen in pages.items():
+        by_node[h, path][kind].append(len(seen))
+    found = defaultdict(dict)
+    for (h, path), (styles, texts) in by_node.items():
+        m = sum(styles)
+        if m >= max(2, min_pages) and texts:
+            looks = -sum(c / m * math.log(c / m, m) for c in styles)
+            reads = max(0.0, 1 - sum(math.log(c, m) for c in texts) / len(texts))
+            found[h][path] = (1 - weight) * looks + weight * reads
+    return ["\n".join(html_text.main_blocks(page, found[host], threshold, priors)) for host, page in rows for priors in (True, False)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no test tables")
+def test_extraction_equals_brute_force_and_the_tree_decides(spark):
+    from feedweir.llm.common import table
+    from feedweir.llm.url_rules import host_of
+
+    pages = table(spark, "/root/testdata/sf0.1", "pages").where("page_id < 1200")
+    rows = pages.select("page_id", host_of(pages["url"]).alias("host"), "html").orderBy("page_id").collect()
+    texts = lambda **options: [r["text"] for r in html_text.extract_text(pages, **options).orderBy("page_id").collect()]
+    want = brute_texts([(r["host"], r["html"]) for r in rows], html_text.THRESHOLD, 0.5, 5)
+    alone = texts(priors=False)
+    assert texts() == want[::2] and alone == want[1::2]
+    without = texts(priors=False, threshold=-1.0)
+    assert sum(a != b for a, b in zip(alone, without)) > 100  # pages from which the tree alone takes something
+
+
+def test_the_tree_decides_inside_a_marked_article(spark):
+    """An unnamed box that repeats goes, repeated paragraphs and lists stay."""
+    page = '<article><h1>Story {0}</h1><p>All rights explained.</p><div class="zz">Get our app now</div><ul><li>as always</li></ul><p>It was {0}.</p></article>'
+    docs = spark.createDataFrame([(i, "http://a.example.com/x", page.format(i)) for i in range(30)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract_text(docs).collect()} == {i: f"Story {i}\nAll rights explained.\nas always\nIt was {i}." for i in range(30)}
+    assert "Get our app now" in html_text.extract_text(docs, threshold=-1.0).first()["text"]
+
+
+def test_a_very_long_page_is_read_whole(spark):
+    text = "\n".join(f"paragraph {i} of the long page" for i in range(60_000))
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in text.split("\n")) + "</article>"
+    found = html_text.extract_text(spark.createDataFrame([(1, "http://a.b/", page)], "page_id long, url string, html string")).first()
+    assert found["text"] == text and found["n_chars"] == len(text)
