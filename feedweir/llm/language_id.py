@@ -25,7 +25,6 @@ BUCKETS = 1 << 15
 UND = "und"
 #: At most so many trigrams' worth of text evidence counts.
 TEMPER = 60
-MAX_LANGUAGES = 200
 
 
 def trigram_buckets(text: str) -> np.ndarray:
@@ -39,10 +38,12 @@ def trigram_buckets(text: str) -> np.ndarray:
     return (h * np.uint64(0x27D4EB2F) >> np.uint64(13) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, *, max_languages: int = 1000) -> tuple[list[str], np.ndarray]:
     """Languages and log P(bucket | language) of rows (lang, text); the last row is "und".
 
-    Null or empty languages and texts teach nothing."""
+    Null or empty languages and texts teach nothing. All languages are trained; their table takes 128 KB each on the driver and
+    in each worker, so labels of more than `max_languages` kinds are an error, not cut short. Texts count whole,
+    repeated rows as often as they come."""
     prepare_workers(labelled.sparkSession)
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,12 +59,13 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     clean = labelled.select("lang", "text").where("lang <> '' and text <> ''")
     counted = materialize(clean.mapInPandas(frugal(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    languages = sorted(r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the labels are not languages")
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().limit(max_languages + 1).collect())
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages, if the labels are languages")
     table = np.full((len(languages) + 1, BUCKETS), 0.1)
-    for r in counted.collect():  # BUCKETS rows a language at most
-        table[languages.index(r["lang"]), r["bucket"]] += r["n"]
+    rows = counted.toArrow()  # BUCKETS rows a language at most
+    place = np.searchsorted(np.array(languages, dtype=object), np.array(rows["lang"].to_pylist(), dtype=object)) if languages else []
+    np.add.at(table, (place, rows["bucket"].to_numpy()), rows["n"].to_numpy())
     table[-1] = 1.0
     return [*languages, UND], np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -77,15 +79,20 @@ def identify(
 ) -> DataFrame:
     """The key columns of `records`, and lang, confidence, text_lang, kept.
 
-    `records` has text, markup (declared language or null), host (or null) and any key columns besides. A language
-    code counts by its first part in lower case. Without any trained language all is "und". A record without letters has only the other evidence and is "und"
-    if that is absent as well. kept: the language is one of `keep` (default: all trained) with at least
-    `least_confidence`. Nulls are missing evidence; repeated rows are judged alike; an empty table gives no rows.
+    `records` has text, markup (declared language or null), host (or null) and any key columns besides; a key named like a
+    result comes back with `_key` behind its name. A language code counts by its first part in lower case. Without any trained
+    language all is "und". A record without letters has only the other evidence and is "und" if that is absent as well. kept: the
+    language is one of `keep` (default: all trained) with at least `least_confidence`. Of equally likely languages the first by
+    name wins. Texts are read whole. Nulls are missing evidence; repeated rows are judged alike; an empty table gives no rows.
     """
     prepare_workers(records.sparkSession)
-    keys = [c for c in records.columns if c not in ("text", "markup", "host")]
+    given = [c for c in records.columns if c not in ("text", "markup", "host")]
+    keys = [f"_key{i}" for i in range(len(given))]  # whatever they are called, they clash with nothing in here
+    records = records.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(given, keys)], "text", "markup", "host")
+    results = ("lang", "confidence", "text_lang", "kept")
+    named_again = lambda out: out.select(*[F.col(k).alias(f"{c}_key" if c.lower() in results else c) for c, k in zip(given, keys)], *results)
     if len(languages) == 1:  # nothing was learnt
-        return records.select(*keys, F.lit(UND).alias("lang"), F.lit(1.0).alias("confidence"), F.lit(UND).alias("text_lang"), F.lit(False).alias("kept"))
+        return named_again(records.select(*keys, F.lit(UND).alias("lang"), F.lit(1.0).alias("confidence"), F.lit(UND).alias("text_lang"), F.lit(False).alias("kept")))
     real, size = languages[:-1], len(languages)
     shared = records.sparkSession.sparkContext.broadcast(np.ascontiguousarray(table.T))
     types = ", ".join(f"`{c}` {t}" for c, t in records.dtypes if c in keys)
@@ -104,6 +111,7 @@ def identify(
 
     named = records.select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.substring_index(F.substring_index(ascii_lower(F.coalesce("markup", F.lit(""))), "-", 1), "_", 1).alias("markup"), F.coalesce("host", F.lit("")).alias("host"))
     scored = materialize(named.mapInArrow(frugal(read), f"{types}{', ' if types else ''}markup string, host string, logs array<double>, has_text boolean"), "text-evidence")
+    shared.destroy()
     names = F.array(*map(F.lit, languages))
     heard = scored.withColumn("text_lang", F.when(F.col("has_text"), _argmax(F.col("logs"), names)).otherwise(F.lit(UND)))
 
@@ -151,7 +159,7 @@ def identify(
     confidence = 1 / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - top))
     lang = _argmax(F.col("post"), names)
     out = both.select(*keys, lang.alias("lang"), confidence.alias("confidence"), "text_lang")
-    return out.withColumn("kept", F.col("lang").isin(*(keep or real)) & (F.col("confidence") >= least_confidence))
+    return named_again(out.withColumn("kept", F.col("lang").isin(*(keep or real)) & (F.col("confidence") >= least_confidence)))
 
 
 def page_records(pages: DataFrame, host: Column) -> DataFrame:

@@ -139,11 +139,62 @@ def test_languages(spark):
     rows = language_id.identify(bare, names, table).join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
     assert sum(r["lang"] == r["truth"] for r in rows) >= 0.99 * len(rows) and sum(not r["kept"] for r in rows) <= 0.005 * len(rows)
     odd = [(1, None, None, None), (2, "", "fr-CA", "x"), (3, "??? 123", None, "h.example.de"), (4, "zqxj vkzq wxqz kqzx jvqx zzkq xqwv qzjx vqkz", None, None), (4, "the", "EN_us", "a.b")]
-    found = language_id.identify(spark.createDataFrame(odd, "id long, text string, markup string, host string").selectExpr("*", "1 as logs2", "2 as lang0"), names, table).orderBy("id", "lang").collect()
+    found = language_id.identify(spark.createDataFrame(odd, "id long, text string, markup string, host string").selectExpr("*", "1 as logs", "2 as LANG", "3 as has_text", "4 as _salt", "5 as kept", "6 as post", "7 as domain"), names, table).orderBy("id", "lang").collect()
     assert [(r["id"], r["lang"], r["kept"]) for r in found] == [(1, "und", False), (2, "fr", True), (3, "und", False), (4, "en", True), (4, "und", False)]
+    assert {(r["logs"], r["LANG_key"], r["has_text"], r["kept_key"], r["post"], r["domain"]) for r in found} == {(1, 2, 3, 5, 6, 7)}
     assert language_id.identify(bare.limit(0), names, table).collect() == []
 
 
+def brute_identify(records, names, table, strength=20.0, und_prior=1e-4):
+    """(lang, posterior) by the formulas, in plain Python."""
+    real = names[:-1]
+    rows = []
+    for text, markup, host in records:
+        b = language_id.trigram_buckets(text or "")
+        logs = [float(table[i, b].sum()) * min(len(b), language_id.TEMPER) / len(b) for i in range(len(names))] if len(b) else None
+        heard = names[max(range(len(names)), key=lambda i: logs[i])] if logs else "und"
+        rows.append((logs, heard, (markup or "").lower().split("-")[0].split("_")[0], host or ""))
+    votes = lambda pick: [sum(h == x and pick(host) for _, h, _, host in rows) for x in real]
+    share = lambda c, towards: [(a + strength * p) / (sum(c) + strength * sum(towards)) for a, p in zip(c, towards)]
+    overall = votes(lambda h: True)
+    flat = [(c + 1) / (sum(overall) + len(real)) for c in overall]
+    domain, suffix = lambda h: ".".join(h.split(".")[-2:]), lambda h: h.split(".")[-1] if "." in h else ""
+    whole, out = sum(overall) + len(real), []
+    for logs, _, markup, host in rows:
+        prior = share(votes(lambda h: h == host), share(votes(lambda h: domain(h) == domain(host)), flat))
+        of_suffix = votes(lambda h: suffix(h) == suffix(host))
+        size = sum(of_suffix) + 1
+        score = []
+        for i, x in enumerate(real):
+            s = math.log(prior[i]) + (logs[i] if logs else 0.0)
+            s += math.log((of_suffix[i] + size / whole) / (overall[i] + 1) * whole / size) if suffix(host) else 0.0
+            if markup:
+                said = markup if markup in real else "und"
+                spoken = [sum(1 for _, h, m, _ in rows if m and h == x and (m if m in real else "und") == k) for k in names]
+                s += math.log((spoken[names.index(said)] + (5.0 if said == x else 0.1)) / (sum(spoken) + 5.0 + 0.1 * (len(names) - 1)))
+            score.append(s)
+        score.append(math.log(und_prior) + (logs[-1] if logs else -5.0 if markup else 20.0))
+        top = max(score)
+        weights = [math.exp(s - top) for s in score]
+        out.append((names[score.index(top)], max(weights) / sum(weights)))
+    return out
+
+
+def test_fusion_equals_brute_force(spark):
+    draw = random.Random(7)
+    vocabulary = {"aa": ["ba", "bo", "bi"], "bb": ["ka", "bo", "ku"], "cc": ["xe", "ky", "bi"]}
+    said = lambda lang, n: " ".join(draw.choice(vocabulary[lang]) + draw.choice(["t", "r", "ba"]) for _ in range(n))
+    docs = spark.createDataFrame([(lang, said(lang, 30)) for lang in vocabulary for _ in range(8)], "lang string, text string")
+    names, table = language_id.train(docs)
+    hosts, marks = ["a.x.com", "b.x.com", "y.org", "z.y.org", "plain", None], ["aa", "BB-US", "cc_X", "zz", "", None]
+    records = [(draw.choice([said(draw.choice("abc") * 2, draw.randint(1, 4)), "", None, "123 !!", "qqq www zzz"]), draw.choice(marks), draw.choice(hosts)) for _ in range(90)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(records)], "id long, text string, markup string, host string").repartition(3)
+    found = language_id.identify(frame, names, table).orderBy("id").collect()
+    for r, (lang, confidence), record in zip(found, brute_identify(records, names, table), records):
+        assert r["confidence"] == pytest.approx(confidence, rel=1e-4), record
+        assert r["lang"] == lang or confidence == pytest.approx(0.5, abs=1e-3), record
+
+
 def test_label_model_recovers_accuracies():
     draw = np.random.default_rng(0)
     y = draw.random(40_000) < 0.15
