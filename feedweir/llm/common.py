@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 REPOSITORY = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: Text that a broadcast table may hold.
+MAX_BROADCAST_BYTES = 64 << 20
 BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20)
 
 #: ASCII white space, as the word patterns of the operators see it.
@@ -99,8 +101,13 @@ def settled(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def few(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """The table, marked for broadcast if it is counted to have at most `max_rows` rows."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """The table, marked for broadcast if it is counted to have at most `max_rows` rows and MAX_BROADCAST_BYTES of text."""
+    rows = df.count()
+    if rows > max_rows:
+        return df
+    texts = [F.octet_length(c) if t == "string" else F.octet_length(F.array_join(c, " ")) for c, t in df.dtypes if t in ("string", "array<string>")]
+    size = df.agg(F.sum(sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0)))).first()[0] if texts and rows else 0
+    return F.broadcast(df) if (size or 0) <= MAX_BROADCAST_BYTES else df
 
 
 def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:

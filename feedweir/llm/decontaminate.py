@@ -24,13 +24,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _span(masks: tuple[tuple[int, ...], ...]) -> int:
+    return 1 + max(k for m in masks for k in m)
+
+
 def _seeds(frame: DataFrame, key: str, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
     """A row (key, at, seed) per window and mask; `at` is the window's first token.
 
     The windows are laid out as shifted slices and exploded, so that hashing runs in generated code. The
     words themselves are not carried along: a long text would be copied for each of its windows.
     """
-    span = 1 + max(k for m in masks for k in m)
+    span = _span(masks)
     used = sorted({k for m in masks for k in m})
     n = F.greatest(F.size("words") - F.lit(span - 1), F.lit(0))
     shifted = F.arrays_zip(*[F.slice("words", F.lit(k + 1), n).alias(f"w{k}") for k in used])
@@ -55,8 +59,9 @@ def find_overlaps(
     """Rows doc_id, item_id, score, item_words of the contaminated pairs, one per pair.
 
     A pair counts if its best score is at least the lesser of `min_score` and `min_share` times the item's
-    number of tokens (rounded up). Items or documents with fewer tokens than the longest mask (10) have no
-    window and match nothing, like null or empty texts. Rows that share an id are one document; null ids
+    number of tokens (rounded up). An item with fewer tokens than the longest mask (10) has no window; it is met by the hash of
+    its whole token sequence and counts where a document has all of it in order. Null or empty texts match nothing; texts are
+    read whole, however long. Of equally good places either counts, the pair once. Rows that share an id are one document; null ids
     pair up as one. An empty table on either side gives no rows. Extra columns are ignored.
 
     With `near` a pair also counts if its best score at half a point off is at least the lesser of `min_score` and
@@ -64,14 +69,22 @@ def find_overlaps(
     fifth or later token replaced reaches that. The score given stays the one above, so such pairs show low ones.
 
     Seeds of the benchmark, its items and the alignments found are counted: up to `max_broadcast_rows` rows
-    they are broadcast to the documents; beyond it the joins shuffle.
+    and MAX_BROADCAST_BYTES they are broadcast to the documents; beyond it the joins shuffle, and Spark splits the partition of a
+    common seed.
     """
     items = materialize(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("words")), "items")
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("words"))
     item_seeds = materialize(_seeds(items, "item_id", masks).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
     # where the item's first token falls in the document; below 0 if the document begins later
     start = (F.col("at") - F.col("item_at")).alias("start")
-    met = materialize(_seeds(words, "doc_id", masks).join(few(item_seeds, max_broadcast_rows), "seed").select("doc_id", "item_id", start).distinct(), "alignments")
+    span = _span(masks)
+    lengths = sorted(r[0] for r in items.select(F.size("words")).where(F.size("words").between(1, span - 1)).distinct().collect())  # span - 1 rows at most
+    hits = _seeds(words, "doc_id", masks).join(few(item_seeds, max_broadcast_rows), "seed").select("doc_id", "item_id", start)
+    for n in lengths:
+        short = items.where(F.size("words") == n)
+        whole = _seeds(short, "item_id", (tuple(range(n)),)).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
+        hits = hits.unionByName(_seeds(words, "doc_id", (tuple(range(n)),)).join(few(whole, max_broadcast_rows), "seed").select("doc_id", "item_id", start))
+    met = materialize(hits.distinct(), "alignments")
     both = words.join(few(met.withColumnRenamed("doc_id", "_id"), max_broadcast_rows), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     skipped = F.greatest(-F.col("start"), F.lit(0))
     region = F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("item_size"))
@@ -84,6 +97,7 @@ def find_overlaps(
     enough = F.col("score") >= F.least(F.lit(min_score), F.ceil(F.lit(min_share) * F.col("item_words")))
     if near:
         enough |= F.col("halves") >= F.greatest(F.lit(15), F.least(F.lit(2 * min_score), F.col("item_words")))
+    enough = F.when(F.col("item_words") < span, F.col("score") == F.col("item_words")).otherwise(enough)
     return scored.where(enough).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("item_words").alias("item_words"))
 
 

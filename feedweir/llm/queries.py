@@ -148,7 +148,10 @@ tok as (
   where h.shift + j >= 0 and h.shift + j < len(d.w)),
 run as (select *, sum(point) over (partition by doc_id, item_id, shift order by j) as total from tok),
 low as (select *, least(0, coalesce(min(total) over (partition by doc_id, item_id, shift order by j rows between unbounded preceding and 1 preceding), 0)) as floor from run),
-best as (select doc_id, item_id, n, max(total - floor) as score from low group by doc_id, item_id, shift, n)
+best as (
+  select doc_id, item_id, n, max(total - floor) as score from low where n >= 10 group by doc_id, item_id, shift, n
+  union all select d.doc_id, b.item_id, len(b.w), len(b.w) from d join b on contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')
+  where len(b.w) between 1 and 9)
 select doc_id, item_id, cast(max(score) as bigint) as score, cast(max(n) as bigint) as item_words from best
 where score >= least(13, ceil(0.6 * n)) group by doc_id, item_id
 """
