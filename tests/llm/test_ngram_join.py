@@ -92,3 +92,24 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
     assert components.connected_components(links.where("u = 5 and v = 5")).collect() == []
+
+
+def test_texts_around_a_common_passage_are_no_candidates(spark, monkeypatch):
+    """850 words in common and 150 of its own each: about 0.74, linked with nothing, however many there are."""
+    compared, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, ranked: compared.append(pairs.count()) or verified(pairs, ranked))
+    shared = [f"s{i}" for i in range(850)]
+    texts = [" ".join(shared + [f"d{d}w{i}" for i in range(150)]) for d in range(80)]
+    assert run(spark, texts) == [(996, d) for d in range(80)] and sum(compared) == 0
+
+
+def test_a_large_group_of_near_copies_costs_what_its_members_cost(spark, monkeypatch):
+    compared, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, ranked: compared.append(pairs.count()) or verified(pairs, ranked))
+    texts = [" ".join("x" + str(d) if i == d % 190 else f"s{i}" for i in range(200)) for d in range(400)]
+    assert {c for _, c in run(spark, texts)} == {0} and sum(compared) <= 4 * len(texts)
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    assert run(spark, [long, long + " more", "short", ""]) == [(299_996, 0), (299_997, 0), (1, 2), (0, 3)]
