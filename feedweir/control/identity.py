@@ -19,10 +19,10 @@ from feedweir.control.errors import ApiError
 from feedweir.control.store import Conflict, Store, now_text
 from feedweir.schema import ROLES
 
-# Parameters of stored hashes, and the claims of tokens.
+# Parameters of stored hashes.
 SCRYPT = {"n": 16384, "r": 8, "p": 1}
 KEY_BYTES, SALT_BYTES = 64, 16
-ISSUER, AUDIENCE = "catalog-ingest", "catalog-api"
+ISSUER = "feedweir"
 EMAIL = re.compile(r"[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+")
 
 
@@ -66,7 +66,7 @@ def _unb64(text: str) -> bytes:
 
 def issue_access_token(caller: Caller, secret: str, now: datetime, seconds: int) -> str:
     at = int(now.timestamp())
-    claims = {"role": caller.role, "mid": caller.merchant_id, "sub": caller.user_id, "iss": ISSUER, "aud": AUDIENCE, "iat": at, "exp": at + seconds}
+    claims = {"role": caller.role, "mid": caller.merchant_id, "sub": caller.user_id, "iss": ISSUER, "aud": ISSUER, "iat": at, "exp": at + seconds}
     body = ".".join(_b64(json.dumps(x, separators=(",", ":")).encode()) for x in ({"alg": "HS256", "typ": "JWT"}, claims))
     return f"{body}.{_b64(hmac.digest(secret.encode(), body.encode(), 'sha256'))}"
 
@@ -84,7 +84,7 @@ def verify_access_token(token: str, secret: str, now: datetime) -> Caller:
         raise
     except Exception as e:
         raise InvalidToken("not a token") from e
-    if claims.get("iss") != ISSUER or claims.get("aud") != AUDIENCE:
+    if claims.get("iss") != ISSUER or claims.get("aud") != ISSUER:
         raise InvalidToken("issued by or for someone else")
     if not isinstance(claims.get("exp"), int) or claims["exp"] <= now.timestamp():
         raise InvalidToken("expired")
@@ -161,7 +161,7 @@ class Accounts:
         if not EMAIL.fullmatch(email):
             raise ApiError(400, "validation_failed", "not an email address")
         if not 12 <= len(password) <= 256:
-            raise ApiError(400, "validation_failed", "Password must be 12 to 256 characters")
+            raise ApiError(400, "validation_failed", "a password has 12 to 256 characters")
         if (merchant_name is None) == (staff_code is None):
             raise ApiError(400, "validation_failed", "give a merchant name or a staff code")
         if merchant_name is not None and not 2 <= len(merchant_name) <= 120:
@@ -198,7 +198,7 @@ class Accounts:
         user = next((u for u in self.store.records("users").values() if u["email"].lower() == email.lower()), None)
         good = verify_password(password, user["password_hash"] if user else self._dummy)  # as long for unknown users
         if not user or not good:
-            raise ApiError(401, "unauthorized", "Email or password is incorrect")
+            raise ApiError(401, "unauthorized", "no account has that address and password")
         session = self._session(user)
         self._commit(lambda: {"refresh_tokens": {session["record"]["id"]: session["record"]}})
         return {"user": self._shown(user), **session["tokens"]}
@@ -216,7 +216,7 @@ class Accounts:
             old = self._live(token)
             user = old and self.store.records("users").get(old["user_id"])
             if not user:
-                raise ApiError(401, "unauthorized", "Refresh token is invalid, expired or already used")
+                raise ApiError(401, "unauthorized", "that refresh token can't be used (any more)")
             session = self._session(user)
             made.update(session["tokens"])
             return {"refresh_tokens": {old["id"]: old | {"revoked_at": now_text(self.clock())}, session["record"]["id"]: session["record"]}}
@@ -240,11 +240,11 @@ class Accounts:
 
     def authenticate(self, header: str | None) -> Caller:
         if not header or not header.startswith("Bearer "):
-            raise ApiError(401, "unauthorized", "Missing bearer token")
+            raise ApiError(401, "unauthorized", "send an access token as Bearer")
         try:
             return verify_access_token(header.removeprefix("Bearer "), self.config.token_secret, self.clock())
         except InvalidToken as e:
-            raise ApiError(401, "unauthorized", "Access token is invalid or expired") from e
+            raise ApiError(401, "unauthorized", "that access token doesn't hold (any more)") from e
 
     def me(self, caller: Caller) -> dict:
         user = self.store.records("users").get(caller.user_id)

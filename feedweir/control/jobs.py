@@ -25,6 +25,7 @@ from feedweir.functions import validation
 from feedweir.operators import merge, rejections
 from feedweir.schema import FINISHED, TABLES
 from feedweir.sources import delimited, uploads
+from feedweir.sources.scratch import tuned
 
 Clock = Callable[[], datetime]
 
@@ -139,7 +140,7 @@ class Imports:
     # running
 
     def run(self, job: dict, should_stop: Callable[[], bool] = lambda: False, on_window: Callable[[dict], None] | None = None) -> Outcome:
-        spark, path = self.store.spark, job["storage_path"]
+        spark, path = tuned(self.store.spark), job["storage_path"]
         header, byte, line = delimited.read_header(path)
         delimited.check_header(header)
         record = job

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedweir.sources.scratch import written
+
 ATTRIBUTES = ("name", "category", "price", "currency", "stock", "updated_at")
 
 
@@ -46,17 +48,19 @@ def merge_counts(merged: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.agg(F.count("*").alias("candidates")).crossJoin(merged.agg(F.count_if("applied").alias("applied")))
 
 
-def with_ordinals(valid: DataFrame, row_number: str = "row_number", parts: int = 64) -> DataFrame:
+def with_ordinals(valid: DataFrame, row_number: str = "row_number", parts: int | None = None, rows_per_range: int = 500_000) -> DataFrame:
     """Add `ordinal`, the 1-based position among valid rows, without gathering them in one task.
 
-    Rows are cut into ranges of row numbers; the ranges' counts are added up (one row a range), and rows are
-    numbered inside their range.
+    The rows are written once. Quantiles of the row numbers cut them into ranges (`parts`, or as many as have about `rows_per_range`
+    rows); the ranges' counts are added up (one row a range), and rows are numbered inside their range. Rows of one number stand in one range.
     """
-    top = valid.agg(F.max(row_number)).first()[0] or 0
-    width = max(1, -(-top // parts))
-    cut = valid.withColumn("_part", F.floor((F.col(row_number) - 1) / F.lit(width)).cast("int"))
+    rows = written(valid, "valid-rows")
+    ranges = parts or -(-rows.count() // rows_per_range)
+    bounds = sorted(set(rows.approxQuantile(row_number, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    part = F.lit(0) if not bounds else F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col(row_number)))
+    cut = rows.withColumn("_part", part)
     counts = cut.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # `parts` rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     base = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(row_number))
     return cut.join(F.broadcast(base), "_part").withColumn("ordinal", F.col("_base") + within).drop("_part", "_base")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedweir import schema as S
@@ -98,10 +98,17 @@ def cascade(children: DataFrame, gone: DataFrame, child_key: str, parent_key: st
     return children.join(gone.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
 
 
-def first_submissions(submissions: DataFrame, tenant: str, digest: str, arrival: str) -> DataFrame:
-    """Per tenant and content the first to arrive; every submission gets its id and whether it is a repeat."""
-    first = F.min(arrival).over(Window.partitionBy(tenant, digest))
-    return submissions.withColumn("import_id", first).withColumn("deduplicated", F.col(arrival) != first)
+def first_submissions(submissions: DataFrame, tenant: str, digest: str, arrival: str, salts: int = 16) -> DataFrame:
+    """Per tenant and content the first to arrive; every submission gets its id and whether it is a repeat.
+
+    Minima are pre-aggregated; only contents that came more than once are joined back, each spread over `salts` tasks, so a file that
+    is sent again and again is no single task's work."""
+    repeats = submissions.groupBy(tenant, digest).agg(F.min(arrival).alias("_first"), F.count("*").alias("_times")).where("_times > 1")
+    right = repeats.select(F.col(tenant).alias("_t"), F.col(digest).alias("_d"), "_first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salt = F.pmod(F.xxhash64(arrival), F.lit(salts)).cast("int")
+    same = submissions[tenant].eqNullSafe(F.col("_t")) & submissions[digest].eqNullSafe(F.col("_d")) & (salt == F.col("_salt"))
+    both = submissions.join(right, same, "left").withColumn("import_id", F.coalesce("_first", arrival))
+    return both.withColumn("deduplicated", F.col(arrival) != F.col("import_id")).drop("_t", "_d", "_first", "_salt")
 
 
 def role_violations(users: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from feedweir import schema as S
 from feedweir.functions.text import csv_field
+from feedweir.operators.merge import with_ordinals
 
 PAGE_ROWS, JSON_ROWS = 2000, 1000
 REPORT_COLUMNS = ("row_number", "line_number", "error_code", "column", "message", "raw_line")
@@ -24,10 +25,11 @@ def append_new(log: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ("import
 
 
 def number_unparseable(lines: DataFrame, least: int = 0, line: str = "line_number") -> DataFrame:
-    """Rejections of unparseable lines: row numbers go down from `least` (0 or the least negative one logged)."""
+    """Rejections of unparseable lines: row numbers go down from `least` (0 or the least negative one logged) in the order of the
+    lines, numbered by ranges: a file of broken quotes makes every line one."""
     cut = F.substring(F.col("parse_error"), 1, S.MAX_PARSER_MESSAGE)
-    number = (F.lit(least) - F.row_number().over(Window.orderBy(line))).cast("long")  # parse errors only: rare by nature
-    return lines.select(number.alias("row_number"), F.col(line).alias("line_number"), F.lit("unparseable_line").alias("error_code"), cut.alias("error_message"), F.lit(None).cast("string").alias("column_name"), F.lit("").alias("raw_line"))
+    number = (F.lit(least) - F.col("ordinal")).cast("long")
+    return with_ordinals(lines.select(line, "parse_error"), line).select(number.alias("row_number"), F.col(line).alias("line_number"), F.lit("unparseable_line").alias("error_code"), cut.alias("error_message"), F.lit(None).cast("string").alias("column_name"), F.lit("").alias("raw_line"))
 
 
 def least_negative(log: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 from feedweir.functions import currency, text, timestamps, validation
 from feedweir.operators import merge, reads, rejections
 from feedweir.plans.feed import FEED_SQL, VALIDATED_SQL, feed
+from feedweir.plans.files import HEADER, ORDER, PLACED_SQL, read_files, write_files
 from feedweir.schema import REQUIRED
+from feedweir.sources import delimited
+from feedweir.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,13 +33,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _checked(spark: SparkSession, d: str) -> DataFrame:
-    return validation.validate(feed(spark, d))
+def _checked(spark: SparkSession, d: str, merchant_id: str | None = None) -> DataFrame:
+    """Checked rows, of one merchant if it is named: filters don't pass the checks, so this one stands before them."""
+    return validation.validate(reads.scoped(feed(spark, d), merchant_id))
 
 
-def _valid(spark: SparkSession, d: str) -> DataFrame:
+def _valid(spark: SparkSession, d: str, merchant_id: str | None = None) -> DataFrame:
     """Valid rows with `millis` for updated_at, so that no time zone matters."""
-    return validation.valid_rows(_checked(spark, d), "row_id", "merchant_id").drop("updated_at")
+    return validation.valid_rows(_checked(spark, d, merchant_id), "row_id", "merchant_id").drop("updated_at")
 
 
 def _at(c: str) -> Column:
@@ -144,12 +149,62 @@ def header_missing_columns(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", F.array_join(F.array_except(every, header), ",").alias("missing"))
 
 
-@query(f"""with feed as ({FEED_SQL}), lines as (select row_id, case when row_id % 11 = 0 then regexp_replace({_LINE}, ',[^,]*\\z', '') else {_LINE} end as line from feed where not contains(coalesce(name, ''), '"'))
-select row_id, cast(len(string_split(line, ',')) as int) as n_fields from lines where len(string_split(line, ',')) < 7""")
+# files: the feed is written as dirty files, and read back through the source
+
+
+@query(f"with {PLACED_SQL} select merchant_id, row_number, line_number, byte_end, n_fields, sku, long_name as name, price from placed where not broken")
+def csv_scan(spark, d):
+    rows, header = read_files(spark, d)
+    by_name = delimited.by_name(rows.where("parse_error is null"), header, "merchant_id", "n_fields")
+    return by_name.select("merchant_id", "row_number", "line_number", "byte_end", "n_fields", "sku", "name", "price")
+
+
+@query(f"with {PLACED_SQL} select merchant_id, row_number, line_number, n_fields from placed where not broken and n_fields < 7")
 def short_row_detect(spark, d):
-    rows = feed(spark, d).where(~F.col("name").contains('"')).withColumn("line", _raw())
-    cut = F.when(F.col("row_id") % 11 == 0, F.regexp_replace("line", r",[^,]*\z", "")).otherwise(F.col("line"))
-    return rows.select("row_id", F.size(F.split(cut, ",", -1)).alias("n_fields")).where(F.col("n_fields") < len(REQUIRED))
+    rows, header = read_files(spark, d)
+    return rows.where("parse_error is null").where(delimited.is_short(header)).select("merchant_id", "row_number", "line_number", "n_fields")
+
+
+@query(f"with {PLACED_SQL} select merchant_id, row_number, n_fields, updated_at from placed where not broken and n_fields > 7")
+def csv_long_rows(spark, d):
+    rows, header = read_files(spark, d)
+    return delimited.by_name(rows.where(F.col("n_fields") > len(header)), header, "merchant_id", "n_fields").select("merchant_id", "row_number", "n_fields", F.nullif("updated_at", F.lit("")).alias("updated_at"))
+
+
+@query(f"with {PLACED_SQL} select merchant_id, -row_number() over (partition by merchant_id order by line_number) as row_number, line_number, 'unparseable_line' as error_code from placed where broken")
+def csv_unparseable(spark, d):
+    parts = []
+    for merchant, path in write_files(spark, d):
+        lines = delimited.read_records(spark, path, splitBytes=1 << 20).where("parse_error is not null")
+        parts.append(rejections.number_unparseable(lines).select(F.lit(merchant).alias("merchant_id"), "row_number", "line_number", "error_code"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"with {PLACED_SQL} select merchant_id, cast(max(line_number) - 1 as bigint) as lines, cast(sum(blank) as bigint) as blank_lines, cast(count(*) as bigint) as records from placed group by 1")
+def csv_blank_lines(spark, d):
+    """Lines that are neither a record's first nor inside one are blank."""
+    rows, header = read_files(spark, d)
+    inside = F.when(F.col("parse_error").isNull(), F.aggregate("fields", F.lit(0).cast("long"), lambda n, f: n + F.length(f) - F.length(F.replace(f, F.lit("\n"), F.lit(""))))).otherwise(0)
+    counted = rows.groupBy("merchant_id").agg((F.max("line_number") - 1).alias("lines"), F.count("*").alias("records"), F.sum(inside).alias("inside"))
+    return counted.select("merchant_id", "lines", (F.col("lines") - F.col("records") - F.col("inside")).alias("blank_lines"), "records")
+
+
+@query(f"with {PLACED_SQL}, half as (select merchant_id, max(byte_end) as upto from placed where row_number <= 400 group by 1) select merchant_id, row_number, line_number, byte_end from placed join half using (merchant_id) where not broken and byte_end > upto")
+def csv_resume(spark, d):
+    """Read on after the 400th record, from its position alone."""
+    parts = []
+    for merchant, path in write_files(spark, d):
+        rows = delimited.read_records(spark, path)
+        at = rows.where("row_number <= 400").agg(F.max(F.struct("byte_end", "row_number", "line_number")).alias("s")).select("s.*").first()
+        rest = delimited.read_records(spark, path, startByte=at["byte_end"], startRow=at["row_number"], startLine=at["line_number"], splitBytes=1 << 20)
+        parts.append(rest.where("parse_error is null").select(F.lit(merchant).alias("merchant_id"), "row_number", "line_number", "byte_end"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query(f"with {PLACED_SQL} select distinct merchant_id, '{','.join(ORDER)}' as header, {len(HEADER.encode()) + 2} as data_begins from placed")
+def csv_header(spark, d):
+    found = [(merchant, *delimited.read_header(path)[:2]) for merchant, path in write_files(spark, d)]
+    return spark.createDataFrame([(m, ",".join(h), at) for m, h, at in found], "merchant_id string, header string, data_begins int")
 
 
 @query("select doc_id, cast(length(text) + length(regexp_replace(text, '[\\x{0000}-\\x{FFFF}]', '', 'g')) as int) as units, length(text) as chars from documents")
@@ -235,15 +290,16 @@ def tally_single_batch(spark, d):
 
 @query(f"with {VALIDATED_SQL}, {_tally_sql('floor((o - 1) / 500)')} select valid, applied, valid - applied as superseded from tally")
 def tally_batched(spark, d):
-    return merge.batch_tally(merge.with_ordinals(_valid(spark, d), "row_id"), 500, newest="millis")
+    return merge.batch_tally(merge.with_ordinals(_valid(spark, d).select("row_id", "sku", "millis"), "row_id"), 500, newest="millis")
 
 
 @query(f"""with {VALIDATED_SQL}, {_tally_sql('0', 'merchant_id')} select v.merchant_id, cast(count(*) as bigint) as rows_read, any_value(t.applied) as applied, any_value(t.valid - t.applied) as superseded,
 cast(count(*) filter (failed is not null) as bigint) as rejected, cast(count(*) as bigint) = any_value(t.valid) + cast(count(*) filter (failed is not null) as bigint) as balances
 from validated v join tally t on t.merchant_id = v.merchant_id group by 1""")
 def tally_invariant(spark, d):
-    checked = _checked(spark, d).groupBy("merchant_id").agg(F.count("*").alias("rows_read"), F.count_if(F.col("failed").isNotNull()).alias("rejected"))
-    both = checked.join(merge.batch_tally(_valid(spark, d), None, by=["merchant_id"], newest="millis"), "merchant_id")
+    rows = written(_checked(spark, d).select("merchant_id", "failed", F.col("_sku").alias("sku"), F.col("_millis").alias("millis")), "checked")
+    checked = rows.groupBy("merchant_id").agg(F.count("*").alias("rows_read"), F.count_if(F.col("failed").isNotNull()).alias("rejected"))
+    both = checked.join(merge.batch_tally(rows.where("failed is null"), None, by=["merchant_id"], newest="millis"), "merchant_id")
     return both.select("merchant_id", "rows_read", "applied", "superseded", "rejected", (F.col("rows_read") == F.col("applied") + F.col("superseded") + F.col("rejected")).alias("balances"))
 
 
@@ -312,12 +368,12 @@ def rejection_report_csv_line(spark, d):
     return rejections.report_lines(_log(spark, d))
 
 
-_BROKEN = "select doc_id as line_number, substring('broken: ' || text, 1, 500) as parse_error, source from documents where length(text) % 7 = 0"
+_BROKEN = "select doc_id as line_number, substring('broken: ' || text, 1, 500) as parse_error, source from documents"
 
 
 @query(f"with b as ({_BROKEN}) select cast(-3 - row_number() over (order by line_number) as bigint) as row_number, line_number, 'unparseable_line' as error_code, parse_error as error_message from b")
 def unparseable_sequence(spark, d):
-    docs = _t(spark, d, "documents").where(F.length("text") % 7 == 0).select(F.col("doc_id").alias("line_number"), F.concat(F.lit("broken: "), "text").alias("parse_error"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("line_number"), F.concat(F.lit("broken: "), "text").alias("parse_error"))
     return rejections.number_unparseable(docs, -3).select("row_number", "line_number", "error_code", "error_message")
 
 
@@ -329,9 +385,9 @@ def least_negative_row(spark, d):
     return some.crossJoin(none)  # one row each
 
 
-@query("select event_id, unnest([event_type, 'x' || event_type]) as code, unnest([value, -value]) as value from events where event_id % 5 = 0")
+@query("select event_id, unnest([event_type, 'x' || event_type]) as code, unnest([value, -value]) as value from events")
 def unnest_arrays(spark, d):
-    rows = _t(spark, d, "events").where("event_id % 5 = 0").select("event_id", F.array("event_type", F.concat(F.lit("x"), "event_type")).alias("code"), F.array(F.col("value"), -F.col("value")).alias("value"))
+    rows = _t(spark, d, "events").select("event_id", F.array("event_type", F.concat(F.lit("x"), "event_type")).alias("code"), F.array(F.col("value"), -F.col("value")).alias("value"))
     return rejections.from_arrays(rows, ["code", "value"])
 
 
@@ -379,8 +435,8 @@ def list_imports_before(spark, d):
 _PRODUCTS = f"products as (select * from valid qualify row_number() over (partition by merchant_id, sku order by millis desc, row_id) = 1)"
 
 
-def _products(spark, d) -> DataFrame:
-    rows = merge.latest_wins(_valid(spark, d), ["merchant_id", "sku"], "millis", "row_id")
+def _products(spark, d, merchant_id: str | None = None) -> DataFrame:
+    rows = merge.latest_wins(_valid(spark, d, merchant_id), ["merchant_id", "sku"], "millis", "row_id")
     return rows.withColumn("updated_at", F.timestamp_millis("millis")).withColumn("ingested_at", F.col("updated_at")).withColumn("last_import_id", F.lit("I"))
 
 
@@ -391,7 +447,7 @@ def products_by_sku(spark, d):
 
 @query(f"with {VALIDATED_SQL}, {_PRODUCTS} select merchant_id as \"merchantId\", sku, cast(price as varchar) as price from products where merchant_id = 'M4' order by sku limit 200")
 def products_scoped(spark, d):
-    return reads.products(_products(spark, d), "M4", limit=200).select("merchantId", "sku", "price")
+    return reads.products(_products(spark, d, "M4"), "M4", limit=200).select("merchantId", "sku", "price")
 
 
 @query(f"with {VALIDATED_SQL}, {_PRODUCTS} select merchant_id as \"merchantId\", sku, cast(price as varchar) as price from products where sku = 'SKU-77' order by sku, merchant_id limit 50")

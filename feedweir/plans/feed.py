@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedweir.functions.currency import ACTIVE, FOUR_DECIMALS, NO_DECIMALS, THREE_DECIMALS
+from feedweir.sources.scratch import dealt, tuned
 
 #: Text columns of the feed, row_id (unique) and merchant_id.
 FEED_SQL = r"""
@@ -36,7 +37,8 @@ from priced
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FEED_SQL.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    lines = dealt(tuned(spark).read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber")
+    return spark.sql(FEED_SQL.replace("from lineitem", "from {lineitem}"), lineitem=lines)
 
 
 def _quoted(codes: list[str]) -> str:

@@ -1,8 +1,11 @@
 """A data source for dirty delimited feeds, with positions.
 
 Spark's CSV reader tells neither rows, lines nor bytes, and can't tell a missing field from an empty one. This
-source plans a file in one sequential pass that only looks at line ends and quotes, cutting it at record
-boundaries into splits with their first row, line and byte; executors then read the splits independently.
+source cuts a file at record boundaries into splits with their first row, line and byte, which executors read
+independently. The cuts are planned by executors too: each scans a fixed block of the file from the two places at which a
+record can begin there, at its first line or after a quote that may be open from before, and tells where its last record
+ends and how many rows and lines it has. The driver chains these summaries; only where none begins at the place that the
+chain has reached (a quoted field over more than a block), it scans the block itself.
 
 Rules: fields are separated by commas; a quote opens a quoted field only at the begin of a field, and inside it ""
 stands for a quote; after a closing quote the rest of the field is kept as it is; any other quote is literal.
@@ -26,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from feedweir.functions.text import csv_line, normalize_header
 from feedweir.schema import REQUIRED
+from feedweir.sources.scratch import workers_import_here
 
 SCHEMA = "row_number long, line_number long, byte_end long, n_fields int, fields array<string>, parse_error string"
 BOM = b"\xef\xbb\xbf"
@@ -140,14 +144,69 @@ class Split(InputPartition):
         super().__init__(self.byte)
 
 
+def scan_from(path: str, byte: int, end: int) -> tuple[int, int, int]:
+    """From a record boundary up to the record that ends at or after `end`: (its end, rows, lines)."""
+    rows, line, at = 0, 0, byte
+    with open_file(path) as stream:
+        stream.seek(byte)
+        for record in records(stream, byte, 0, end):
+            rows, line, at = rows + (record.error is None), record.last_line, record.byte_end
+    return at, rows, line
+
+
+def scan_block(path: str, begin: int, end: int) -> list[tuple[int, int, int, int]]:
+    """(record boundary, end, rows, lines) for both places at which a record can begin in a block; none if the block has no such line."""
+    with open_file(path) as stream:
+        stream.seek(begin - 1 if begin else 0)
+        first = begin + (len(stream.readline()) - 1 if begin else 0)  # a line that begins at `begin` follows a line end
+        after, inside = first, True
+        while inside and after < end:
+            line = stream.readline()
+            if not line:
+                break
+            after, inside = after + len(line), _stays_open(line, True)
+    return [(at, *scan_from(path, at, end)) for at in dict.fromkeys([first] + [after] * (not inside)) if at < end]
+
+
+def plan(spark: SparkSession, path: str, byte: int, row: int, line: int, stop: int, block_bytes: int) -> list[Split]:
+    """The splits from a record boundary up to the record that ends at or after `stop`, a block each, planned by the executors."""
+    edges = [*range(byte, stop, block_bytes), stop]
+    blocks = [(i, path, a, b) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                found = scan_block(x["path"], x["a"], x["b"]) if x["i"] else [(x["a"], *scan_from(x["path"], x["a"], x["b"]))]
+                yield pa.RecordBatch.from_pylist([dict(zip(("i", "at", "end", "rows", "lines"), (x["i"], *f))) for f in found], schema=SUMMARY)
+
+    frame = spark.createDataFrame(blocks, "i int, path string, a long, b long").repartition(len(blocks), "i")
+    known = {(r["i"], r["at"]): (r["end"], r["rows"], r["lines"]) for r in frame.mapInArrow(scan, "i int, at long, end long, rows long, lines long").collect()}  # two rows a block at most
+    splits = []
+    for i, _, _, edge in blocks:
+        if byte >= edge:
+            continue  # a record from before reaches beyond this block
+        end, rows, lines = known.get((i, byte)) or scan_from(path, byte, edge)
+        if end > byte:
+            splits.append(Split(path, byte, end, row, line))
+            byte, row, line = end, row + rows, line + lines
+    return splits
+
+
+SUMMARY = pa.schema([("i", pa.int32()), ("at", pa.int64()), ("end", pa.int64()), ("rows", pa.int64()), ("lines", pa.int64())])
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.split_bytes = int(options.get("splitbytes", 64 << 20))
         self.most = int(options["maxbytes"]) if "maxbytes" in options else None
         self.start = (int(options["startbyte"]), int(options.get("startrow", 0)), int(options.get("startline", 0))) if "startbyte" in options else None
+        self.planned = json.loads(options["splits"]) if "splits" in options else None
 
     def partitions(self) -> list[Split]:
+        """The splits that `read_records` had planned; without them, a sequential plan."""
+        if self.planned is not None:
+            return [Split(self.path, *x) for x in self.planned] or [Split(self.path, 0, 0, 0, 0)]
         if self.start is None:
             _, byte, line = read_header(self.path)
             row = 0
@@ -208,17 +267,31 @@ class FeedSource(DataSource):
         return FeedReader(dict(self.options))
 
 
+def file_size(path: str) -> int:
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.get_file_info(inner).size
+
+
 def read_records(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The records of a file, planned and read by the executors. Options: splitBytes, maxBytes, startByte, startRow, startLine."""
+    workers_import_here(spark)
     spark.dataSource.register(FeedSource)
-    return spark.read.format("feed").options(path=path, **{k: str(v) for k, v in options.items()}).load()
+    if "startByte" in options:
+        byte, row, line = int(options["startByte"]), int(options.get("startRow", 0)), int(options.get("startLine", 0))
+    else:
+        (_, byte, line), row = read_header(path), 0
+    stop = min(file_size(path), byte + int(options.get("maxBytes", 1 << 62)))
+    splits = plan(spark, path, byte, row, line, stop, int(options.get("splitBytes", 64 << 20))) if stop > byte else []
+    numbers = json.dumps([(s.byte, s.end, s.row, s.line) for s in splits])
+    return spark.read.format("feed").options(path=path, splits=numbers).load()
 
 
-def by_name(rows: DataFrame, header: list[str]) -> DataFrame:
+def by_name(rows: DataFrame, header: list[str], *keep: str) -> DataFrame:
     """Columns of the feed by their header names; a field beyond the end of a short row is null, surplus fields are dropped.
-    `raw_line` is the record written anew in header order."""
+    `raw_line` is the record written anew in header order; `keep` are further columns of `rows`."""
     columns = {c: F.get("fields", F.lit(header.index(c))) for c in REQUIRED}
     whole = csv_line(F.array(*[F.get("fields", F.lit(i)) for i in range(len(header))]))
-    return rows.select("row_number", "line_number", "byte_end", *[e.alias(c) for c, e in columns.items()], whole.alias("raw_line"))
+    return rows.select(*keep, "row_number", "line_number", "byte_end", *[e.alias(c) for c, e in columns.items()], whole.alias("raw_line"))
 
 
 def is_short(header: list[str]) -> Column:

@@ -23,7 +23,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["validate_feed_codes", "validate_feed_rejects", "normalize_feed", "tally_batched", "upsert_freshness_insert_update", "idempotent_submit", "list_imports_before", "token_consume_join"])
+@pytest.mark.parametrize("name", ["validate_feed_codes", "validate_feed_rejects", "normalize_feed", "tally_batched", "upsert_freshness_insert_update", "idempotent_submit", "list_imports_before", "token_consume_join", "tally_invariant", "unparseable_sequence", "unnest_arrays", "csv_scan", "short_row_detect", "csv_long_rows", "csv_unparseable", "csv_blank_lines", "csv_resume", "csv_header"])
 def test_equals_sql(spark, duck, name):
     frame, found = catalog.QUERIES[name](spark, DATA), duck.sql(catalog.ORACLES[name])
     assert sorted(frame.columns) == sorted(found.columns)

@@ -79,3 +79,50 @@ def test_every_damage_gets_its_code(spark):
 
     rows = validation.validate(datagen.spread_feed(spark, 4000, bad_rate=0.3)).select("damage", validation.error_code().alias("code")).distinct().collect()
     assert {(r["damage"], r["code"]) for r in rows} == {*datagen.DAMAGE.items(), (None, None)}
+
+
+def sequential(path, byte, line):
+    """(record end, line) of every record, read in one go."""
+    with delimited.open_file(path) as stream:
+        stream.seek(byte)
+        return [(r.byte_end, r.last_line, r.error) for r in delimited.records(stream, byte, line)]
+
+
+NASTY = [
+    b'a,b\n1,"x\n\n\ny"\n' * 30, b'a,b\r\n' + b'1,"' + b"q\n" * 200 + b'"\r\n2,z\r\n', b'a,b\n' + b'x,5" y\n"",""\n' * 40, b'a,b\n\n\n' + b'"say ""hi""\n""\n",1\n' * 25 + b"\n\n",
+    b'a,b\n' + b'1,2\n' * 50 + b'"never closed\n' + b"1,2\n" * 50, b"a,b\n" + b"x\ry,1\nz,2\n" * 30, b'a,b\n' + b'",\n",",\n' * 40, b"a,b", b"a,b\n\n\n", b'a,b\n"\n"\n"\n"', b"\xef\xbb\xbfa,b\n" + "é,ü\n".encode() * 40,
+]
+
+
+@pytest.mark.parametrize("data", NASTY)
+@pytest.mark.parametrize("block", [1, 7, 64, 1000])
+def test_planned_blocks_equal_a_sequential_scan(tmp_path, data, block):
+    path = str(tmp_path / "x.csv")
+    (tmp_path / "x.csv").write_bytes(data)
+    _, byte, line = delimited.read_header(path)
+    edges = [*range(byte, len(data), block), len(data)]
+    known = {}
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        for at, *rest in delimited.scan_block(path, a, b) if i else [(a, *delimited.scan_from(path, a, b))]:
+            known[i, at] = rest
+    found, at, lines, rows = [], byte, line, 0
+    for i, edge in enumerate(edges[1:]):
+        if at < edge:
+            end, n, m = known.get((i, at)) or delimited.scan_from(path, at, edge)
+            if end > at:
+                with delimited.open_file(path) as stream:
+                    stream.seek(at)
+                    found += [(r.byte_end, r.last_line, r.error) for r in delimited.records(stream, at, lines, end)]
+                at, lines, rows = end, lines + m, rows + n
+    want = sequential(path, byte, line)
+    assert found == want and rows == sum(e is None for *_, e in want)
+
+
+def test_planned_by_executors(spark, tmp_path):
+    path = str(tmp_path / "y.csv")
+    datagen.write_feed(path, rows_wanted=3000, bad_rate=0.1, crlf=True)
+    one = delimited.read_records(spark, path).orderBy("byte_end").collect()
+    many = delimited.read_records(spark, path, splitBytes=5000)
+    assert many.rdd.getNumPartitions() > 20 and many.orderBy("byte_end").collect() == one and len(one) == 3000
+    part = delimited.read_records(spark, path, splitBytes=5000, maxBytes=20_000).orderBy("byte_end").collect()
+    assert part == one[: len(part)] and one[len(part) - 2]["byte_end"] < 20_000 + len(",".join(delimited.REQUIRED)) + 2 <= one[len(part) - 1]["byte_end"]
