@@ -1,10 +1,11 @@
 """Toxicity scores from weak supervision.
 
 Stems (words and word beginnings) that set toxic training rows apart are mined from a bounded labelled
-sample. Groups of stems and a few patterns become voters that vote on every document. A generative model
-over the votes, with a tree of the strongest correlations given the label, is fitted by expectation
-maximisation to the counts of vote patterns of the whole corpus; a linear classifier is then trained on
-its posterior labels and scores every whole text.
+sample. They make lexicons, by kind and strength; with patterns of use (how many, how dense, how near to each other, how often
+again) and of writing (capitals, exclamation marks, masked letters) these are voters, which call every document toxic or
+clean, or abstain. A generative model over the votes, with a tree of the strongest correlations given the label, is fitted by
+expectation maximisation to the counts of vote patterns of all training rows; the votes on the mined rows, whose labels are known,
+anchor its two classes. A linear classifier is then trained on its posterior labels alone and scores every whole text.
 """
 
 from __future__ import annotations
@@ -26,9 +27,16 @@ from feedweir.llm.common import materialize, settled, prepare_workers
 WORD = re.compile(r"\w+")
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PREFIXES = (5, 6, 7, 8)
-LEXICONS = 7
-#: Votes of a document: one per lexicon, then the patterns of `_patterns`.
-PATTERNS = ("several stems", "stems are dense", "a stem repeats", "shouting")
+#: Lexicons of whole words and of word beginnings, from strong to weak.
+TIERS = 3
+LEXICONS = 2 * TIERS
+#: Votes of a document: one per lexicon, then these (see `votes_of`).
+PATTERNS = ("several", "dense", "again", "near", "shouting", "exclaiming", "masked")
+CLEAN, TOXIC, ABSTAIN = 0, 1, 2
+VALUES = 3
+MASKED = re.compile(r"[^\W\d_][*@$#]+[^\W\d_]")
+#: Stems so many characters apart are near.
+REACH = 40
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -58,8 +66,14 @@ class StemMatcher:
 
     def counts(self, lower: str) -> np.ndarray:
         out = np.zeros(len(self.stems))
+        for i, _ in self.hits(lower):
+            out[i] += 1
+        return out
+
+    def hits(self, lower: str) -> Iterator[tuple[int, int]]:
+        """(stem, place) of every stem in a text."""
         if not self.stems:
-            return out
+            return
         inside = lambda c: c.isalnum() or c == "_"
         for end, (length, uses) in self.automaton.iter(lower):
             begin = end - length
@@ -68,16 +82,38 @@ class StemMatcher:
             more = end + 1 < len(lower) and inside(lower[end + 1])
             for i, whole in uses:
                 if whole != more:
-                    out[i] += 1
-        return out
+                    yield i, end
+
 
+def tiers_of(stems: list[str]) -> np.ndarray:
+    """The lexicon of each stem; stems come from strong to weak."""
+    out = np.zeros(len(stems), int)
+    for kind in (True, False):
+        at = [i for i, s in enumerate(stems) if s.endswith("$") == kind]
+        for nth, i in enumerate(at):
+            out[i] = nth * TIERS // len(at) + (0 if kind else TIERS)
+    return out
 
-def _patterns(counts: np.ndarray, groups: np.ndarray, text: str, words: int) -> list[bool]:
-    per_lexicon = np.bincount(groups, counts, LEXICONS) if len(groups) else np.zeros(LEXICONS)
-    hits = counts.sum()
+
+def votes_of(counts: np.ndarray, places: list[int], tiers: np.ndarray, text: str, words: int) -> list[int]:
+    """Every voter's vote on one text. What no stem tells, only `several` and `dense` call clean, and only of 20 words or more."""
+    per_lexicon = np.bincount(tiers, counts, LEXICONS) if len(tiers) else np.zeros(LEXICONS)
+    hits, kinds = counts.sum(), (counts > 0).sum()
+    none = CLEAN if not hits and words >= 20 else ABSTAIN
     raw = text.encode()
     upper = len(raw) - len(raw.translate(None, CAPITALS))
-    return [*(per_lexicon > 0), (counts > 0).sum() >= 3, hits >= max(2, 0.01 * words), counts.max(initial=0) >= 2, 2 * upper > len(raw)]
+    near = any(b - a <= REACH for a, b in zip(places, places[1:]))
+    marks = text.count("!")
+    return [
+        *np.where(per_lexicon > 0, TOXIC, ABSTAIN),
+        TOXIC if kinds >= 3 else none,
+        TOXIC if hits >= max(2, 0.01 * words) else none,
+        TOXIC if counts.max(initial=0) >= 2 else ABSTAIN,
+        TOXIC if near else CLEAN if hits == 1 else ABSTAIN,
+        TOXIC if 2 * upper > len(raw) else ABSTAIN,
+        TOXIC if marks >= max(3, 0.03 * words) else ABSTAIN,
+        TOXIC if MASKED.search(text) else ABSTAIN,
+    ]
 
 
 def features(counts: np.ndarray, words: int) -> np.ndarray:
@@ -89,47 +125,44 @@ def features(counts: np.ndarray, words: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """Naive Bayes over binary votes, but each vote may depend on one other (a tree of correlations)."""
+    """Naive Bayes over votes (clean, toxic, abstaining), but each may depend on one other (a tree of correlations)."""
 
     prior: float
     parent: list[int]
-    #: P(vote = 1 | label, parent's vote); without a parent both columns are equal: [voter, label, parent's vote]
+    #: P(vote | label, parent's vote): [voter, label, parent's vote, vote]; without a parent all of its votes are alike.
     table: np.ndarray = field(repr=False)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
+        votes = votes.astype(int)
         odds = np.full(len(votes), np.log(self.prior) - np.log1p(-self.prior))
         for j, p in enumerate(self.parent):
-            given = votes[:, p].astype(int) if p >= 0 else np.zeros(len(votes), int)
-            one = self.table[j][:, given]
-            like = np.where(votes[:, j], one, 1 - one)
+            given = votes[:, p] if p >= 0 else np.zeros(len(votes), int)
+            like = self.table[j][:, given, votes[:, j]]
             odds += np.log(like[1]) - np.log(like[0])
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
     @property
     def accuracies(self) -> np.ndarray:
-        """Of each voter without regard to its parent: P(vote = label)."""
-        one = self.table.mean(axis=2)
-        return self.prior * one[:, 1] + (1 - self.prior) * (1 - one[:, 0])
+        """Of each voter, where it doesn't abstain and without regard to its parent: P(vote = label)."""
+        of, share = self.table.mean(axis=2), np.array([1 - self.prior, self.prior])
+        right = share[0] * of[:, 0, CLEAN] + share[1] * of[:, 1, TOXIC]
+        return right / (of[:, :, [CLEAN, TOXIC]].sum(axis=2) @ share)
 
 
 def _correlation_tree(votes: np.ndarray, weights: np.ndarray, post: np.ndarray, least: float) -> list[int]:
     """Parents of the strongest dependences given the label (a maximum spanning forest of mutual information)."""
-    m = votes.shape[1]
+    votes, m = votes.astype(int), votes.shape[1]
     pairs = []
     for i in range(m):
         for j in range(i):
             info = 0.0
-            for label in (post, 1 - post):
-                w = weights * label
-                total = w.sum()
-                if total <= 0:
+            for w in (weights * post, weights * (1 - post)):
+                if w.sum() <= 0:
                     continue
-                for a in (0, 1):
-                    for b in (0, 1):
-                        both = (w * (votes[:, i] == a) * (votes[:, j] == b)).sum() / total
-                        apart = (w * (votes[:, i] == a)).sum() / total * (w * (votes[:, j] == b)).sum() / total
-                        if both > 0 and apart > 0:
-                            info += total / weights.sum() * both * np.log(both / apart)
+                both = np.bincount(votes[:, i] * VALUES + votes[:, j], w, VALUES * VALUES).reshape(VALUES, VALUES) / w.sum()
+                apart = both.sum(axis=1, keepdims=True) * both.sum(axis=0, keepdims=True)
+                seen = both > 0
+                info += w.sum() / weights.sum() * (both[seen] * np.log(both[seen] / apart[seen])).sum()
             if info > least:
                 pairs.append((info, i, j))
     near: dict[int, list[int]] = {i: [] for i in range(m)}
@@ -157,18 +190,21 @@ def _correlation_tree(votes: np.ndarray, weights: np.ndarray, post: np.ndarray,
 def fit_label_model(votes: np.ndarray, weights: np.ndarray, known: np.ndarray, prior: float, rounds: int = 80, least_information: float = 0.004) -> LabelModel:
     """Expectation maximisation. `known` is 0 or 1 where a row's label is given, else NaN. The correlation
     tree is estimated once voters are told apart as if they were independent, and once more later."""
-    post = np.where(np.isnan(known), np.clip(votes.mean(axis=1), 0.02, 0.98), known)
+    votes = votes.astype(int)
+    toxic, clean = (votes == TOXIC).sum(axis=1), (votes == CLEAN).sum(axis=1)
+    post = np.where(np.isnan(known), np.clip((toxic + prior) / (toxic + clean + 1.0), 0.02, 0.98), known)
     parent = [-1] * votes.shape[1]
+    first = np.array([[0.45, 0.05, 0.5], [0.25, 0.25, 0.5]])  # half a row of each label that voters mostly get right
     model = None
     for turn in range(rounds):
         if turn in (40, 60):
             parent = _correlation_tree(votes, weights, post, least_information)
-        table = np.empty((votes.shape[1], 2, 2))
+        table = np.empty((votes.shape[1], 2, VALUES, VALUES))
         for j, p in enumerate(parent):
             for label, share in ((0, 1 - post), (1, post)):
-                for given in (0, 1):
+                for given in range(VALUES):
                     w = weights * share * ((votes[:, p] == given) if p >= 0 else 1)
-                    table[j, label, given] = ((w * votes[:, j]).sum() + 0.5 * (0.1 + 0.4 * label)) / (w.sum() + 0.5)
+                    table[j, label, given] = (np.bincount(votes[:, j], w, VALUES) + 0.5 * first[label]) / (w.sum() + 0.5)
         model = LabelModel(prior, parent, np.clip(table, 1e-4, 1 - 1e-4))
         post = np.where(np.isnan(known), model.posterior(votes), known)
     return model
@@ -194,7 +230,6 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float =
 @dataclass
 class ToxicityModel:
     stems: list[str]
-    groups: np.ndarray
     label_model: LabelModel | None
     weights: np.ndarray
 
@@ -266,19 +301,22 @@ def _mine(sample: DataFrame, rows: DataFrame, max_candidates: int, max_stems: in
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clean: int = 8000, max_fit: int = 20_000, max_candidates: int = 20_000, max_stems: int = 48) -> ToxicityModel:
     """Fit on rows that are not held out. Mining reads `max_toxic` + `max_clean` labelled rows at most, chosen by
-    a hash of their ids; the linear classifier is fitted on `max_fit` of all training rows, chosen alike; votes
-    are counted over all training rows. Without labels of both kinds the model scores 0 everywhere."""
+    a hash of their ids, and keeps the `max_stems` strongest of the `max_candidates` most frequent stems; votes are counted over all
+    training rows; the linear classifier is fitted on the posterior labels of `max_fit` of them, chosen alike, and of the rows that
+    were mined. Rows that share an id share its label, which is toxic if any is; ties of a hash are broken by the id, stems that are
+    equally strong by length and name. Null texts count as empty, null ids and labels teach nothing, texts are read whole.
+    Without labels of both kinds, or stems, the model scores 0 everywhere."""
     prepare_workers(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = F.xxhash64("doc_id")
-    chosen = marks.where("toxic = 1").orderBy(order).limit(max_toxic).unionByName(marks.where("toxic = 0").orderBy(order).limit(max_clean))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = materialize(marks.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(marks.where("toxic = 0").orderBy(*order).limit(max_clean)), "chosen")
     sample = materialize(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
     n1 = sample.where("toxic = 1").count()
     stems = _mine(sample, texts, max_candidates, max_stems) if n1 else []
     if not stems:
-        return ToxicityModel([], np.zeros(0, int), None, np.array([0.0] * 5 + [-40.0]))
-    groups = np.arange(len(stems)) % LEXICONS
+        return ToxicityModel([], None, np.array([0.0] * 5 + [-40.0]))
+    tiers = tiers_of(stems)
 
     def vote(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         match = StemMatcher(stems)
@@ -286,33 +324,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 4000, max_clean:
             votes, xs = [], []
             for t in f["text"]:
                 lower = t.lower()
-                counts, words = match.counts(lower), len(lower.split())
-                votes.append(sum(1 << i for i, v in enumerate(_patterns(counts, groups, t, words)) if v))
-                xs.append(features(counts, words))
+                hits, words = list(match.hits(lower)), len(lower.split())
+                counts = np.bincount([i for i, _ in hits], minlength=len(stems)).astype(float) if hits else np.zeros(len(stems))
+                votes.append(sum(int(v) * VALUES**i for i, v in enumerate(votes_of(counts, sorted({at for _, at in hits}), tiers, t, words))))
+                xs.append(features(counts, words).astype(np.float32))
             yield settled(pd.DataFrame({"doc_id": f["doc_id"], "votes": votes, "x": xs}))
 
     training = texts.where(~held_out())
-    voted = training.mapInPandas(vote, "doc_id long, votes int, x array<double>").withColumn("pick", F.xxhash64("doc_id"))
-    voted = materialize(voted.select("doc_id", "votes", "pick", F.transform("x", lambda v: v.cast("float")).alias("x")), "votes")
-    counted = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 2 ** voters rows
-    known = sample.select("doc_id", "toxic").join(voted.select("doc_id", "votes"), "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
+    voted = materialize(training.mapInPandas(vote, "doc_id long, votes long, x array<float>").withColumn("pick", F.xxhash64("doc_id")), "votes")
+    counted = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()  # patterns of votes: a few thousand, whatever the rows
 
     voters = LEXICONS + len(PATTERNS)
-    bits = lambda rows: (np.array([r["votes"] for r in rows])[:, None] >> np.arange(voters)) & 1 == 1
+    values = lambda codes: np.asarray(codes, np.int64)[:, None] // VALUES ** np.arange(voters) % VALUES
+    known = voted.join(F.broadcast(chosen), "doc_id").groupBy("votes", "toxic").agg(F.count("*").alias("n")).collect()
+    rate = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     rows = [*counted, *known]
     given = np.array([np.nan] * len(counted) + [float(r["toxic"]) for r in known])
-    rate = marks.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    model = fit_label_model(bits(rows), np.array([float(r["n"]) for r in rows]), given, float(np.clip(rate, 0.001, 0.5)))
-
-    picked = voted.orderBy("pick").limit(max_fit).select("votes", "x").collect()
-    # rows with a stem are rare but decide; the sample of labelled rows brings more of them
-    labelled = voted.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").select("votes", "x", "toxic").collect()
-    every = [*picked, *labelled]
-    x = np.array([r["x"] for r in every], float)
-    soft = model.posterior(bits(every))
-    truth = np.array([np.nan] * len(picked) + [float(r["toxic"]) for r in labelled])
-    target = np.where(np.isnan(truth), soft, 0.5 * soft + 0.5 * np.nan_to_num(truth))
-    return ToxicityModel(stems, groups, model, fit_linear(x, target, np.ones(len(x)), ridge=0.3))
+    # the labelled rows weigh as much as all others, or the classes would drift to whatever splits the corpus best
+    all_rows, labelled = (max(1.0, float(sum(r["n"] for r in x))) for x in (counted, known))
+    weights = np.array([float(r["n"]) for r in counted] + [r["n"] * all_rows / labelled for r in known])
+    model = fit_label_model(values([r["votes"] for r in rows]), weights, given, float(np.clip(rate, 0.001, 0.5)))
+
+    # rows with a stem are rare but decide; the mined rows bring more of them. All have posterior labels only
+    picked = voted.orderBy("pick", "doc_id").limit(max_fit).select("votes", "x")
+    mined = voted.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("votes", "x").limit(2 * (max_toxic + max_clean))
+    rows = picked.unionByName(mined).toArrow()  # bounded by the two limits
+    x = np.concatenate([c.flatten().to_numpy() for c in rows["x"].chunks]).reshape(rows.num_rows, -1).astype(float)
+    target = model.posterior(values(rows["votes"].to_numpy()))
+    return ToxicityModel(stems, model, fit_linear(x, target, np.ones(len(x)), ridge=0.3))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

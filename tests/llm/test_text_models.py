@@ -213,6 +213,40 @@ def test_label_model_recovers_accuracies():
     assert parent == [-1, -1, -1, -1, 0]
 
 
+def test_label_model_with_voters_that_abstain():
+    """Lexicon-like voters, which never call a text clean, and patterns that do; the labelled rows anchor the classes."""
+    draw = np.random.default_rng(1)
+    y = draw.random(30_000) < 0.1
+    hit = lambda a, b: np.where(y, draw.random(len(y)) < a, draw.random(len(y)) < b)
+    lexicons = [np.where(hit(a, b), toxicity.TOXIC, toxicity.ABSTAIN) for a, b in ((0.7, 0.01), (0.5, 0.03), (0.4, 0.02))]
+    pattern = np.where(hit(0.8, 0.05), toxicity.TOXIC, np.where(draw.random(len(y)) < 0.6, toxicity.CLEAN, toxicity.ABSTAIN))
+    votes = np.stack([*lexicons, pattern], axis=1)
+    known = np.where(np.arange(len(y)) < 3000, y.astype(float), np.nan)
+    model = toxicity.fit_label_model(votes, np.ones(len(y)), known, 0.1)
+    of = lambda j: np.mean((votes[:, j] == y)[votes[:, j] != toxicity.ABSTAIN])
+    assert np.allclose(model.accuracies, [of(j) for j in range(4)], atol=0.05)
+    # the posterior is Bayes' rule over the true shares
+    shares = [[[np.mean(votes[y == label, j] == v) for v in range(3)] for label in (False, True)] for j in range(4)]
+    odds = [0.1 / 0.9 * math.prod((shares[j][1][v] + 1e-9) / (shares[j][0][v] + 1e-9) for j, v in enumerate(row)) for row in votes[:500]]
+    assert np.mean(np.abs(model.posterior(votes[:500]) - np.array(odds) / (1 + np.array(odds)))) < 0.03
+
+
+def test_votes():
+    stems = ["vile$", "scum$", "nast"]
+    match, tiers = toxicity.StemMatcher(stems), toxicity.tiers_of(stems)
+    assert list(tiers) == [0, 1, 3]
+
+    def votes(text):
+        hits = list(match.hits(text.lower()))
+        return "".join("ct."[v] for v in toxicity.votes_of(match.counts(text.lower()), sorted({at for _, at in hits}), tiers, text, len(text.split())))
+
+    assert votes("fine words " * 20) == "......cc....."
+    assert votes("short") == "............."
+    assert votes("You vile scum! Nasty!! " + "and so on " * 10) == "tt.t..tt.t.t."
+    assert votes("VILE, WHAT A VILE V*LE THING") == "t......tttt.t"
+    assert votes("") == "............."
+
+
 def test_stem_matcher_equals_brute_force():
     stems = ["idiot$", "achlich", "trash$", "tra"]
     match = toxicity.StemMatcher(stems)
