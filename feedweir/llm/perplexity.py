@@ -1,7 +1,8 @@
 """Quality rules: simple counts, and the perplexity of a modified Kneser-Ney model per language.
 
 The model runs over characters (n-grams of order 5 in lower case, white space as one blank), so its size is set
-by the languages, not by the corpus. An n-gram is an exact 60-bit number: twelve bits per character.
+by the languages, not by the corpus. An n-gram is a 60-bit number, twelve bits per character: exact up to U+0FFF, while
+characters beyond share the 2,048 upper codes by their low bits, so that for scripts such as Chinese it counts classes of characters.
 Spark counts the highest order over all documents and derives the lower orders, the discounts and the
 interpolated probabilities; scoring reads sorted arrays of n-grams. A model beyond the stated size is joined
 with the documents' own n-gram counts instead. Perplexity is per word: the characters' negative log
@@ -20,15 +21,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedweir.llm.common import frugal, materialize, settled, prepare_workers
+from feedweir.llm.common import few, frugal, materialize, settled, prepare_workers
 from feedweir.llm.ngram_join import MIX
 
 ORDER, BITS = 5, 12
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+#: Languages whose parameters are broadcast.
+MAX_LANGUAGES = 10_000
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -109,6 +112,19 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i - 0.05) for i, d in enumerate(raw, 1))
 
 
+def _by_language(level: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3 (the discounts), v (grams) of one order: a row a language, broadcast if they are few."""
+    n = [F.count_if(F.col("a") == i).cast("double") for i in (1, 2, 3, 4)]
+    counted = level.groupBy("lang").agg(*[x.alias(f"n{i}") for i, x in enumerate(n, 1)], F.count("*").alias("v"))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    found = ["lang", "v"]
+    for i in (1, 2, 3):
+        less, more = F.col(f"n{i}"), F.col(f"n{i + 1}")
+        raw = F.when(less > 0, i - (i + 1) * y * more / less).otherwise(i * y)
+        found.append(F.when(F.col("n1") > 0, F.least(F.greatest(raw, F.lit(0.05)), F.lit(i - 0.05))).otherwise(0.5).alias(f"d{i}"))
+    return few(materialize(counted.select(*found), "languages"), MAX_LANGUAGES)
+
+
 def fit(docs: DataFrame) -> dict[int, DataFrame]:
     """order -> (lang, gram, p, gamma): interpolated probabilities, and the weight of a gram as a context of the
     order above (null if it never is one). `docs` has lang and text without nulls."""
@@ -121,13 +137,8 @@ def fit(docs: DataFrame) -> dict[int, DataFrame]:
     model: dict[int, DataFrame] = {}
     for k in range(1, ORDER + 1):
         level = levels[k]
-        many = level.where("a < 5").groupBy("lang", "a").agg(F.count("*").alias("n")).collect()  # four rows a language at most
-        counts = {(r["lang"], r["a"]): r["n"] for r in many}
-        langs = [r["lang"] for r in level.select("lang").distinct().collect()]
-        rows = [(x, *map(float, discounts(*(counts.get((x, i), 0) for i in (1, 2, 3, 4))))) for x in langs]
-        off = spark.createDataFrame(rows, "lang string, d1 double, d2 double, d3 double")
         context = F.shiftright("gram", BITS)
-        joined = level.join(off, "lang").withColumn("context", context)
+        joined = level.join(_by_language(level), "lang").withColumn("context", context)
         sums = joined.groupBy("lang", "context").agg(
             F.sum("a").alias("total"),
             F.sum(F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))).alias("taken"),
@@ -135,8 +146,7 @@ def fit(docs: DataFrame) -> dict[int, DataFrame]:
         given = joined.join(sums, ["lang", "context"]).withColumn("gamma_of", F.col("taken") / F.col("total"))
         own = F.greatest(F.col("a") - F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3")), F.lit(0.0)) / F.col("total")
         if k == 1:
-            size = level.groupBy("lang").agg(F.count("*").alias("v"))
-            p = given.join(size, "lang").select("lang", "gram", (own + F.col("gamma_of") / F.col("v")).alias("p"))
+            p = given.select("lang", "gram", (own + F.col("gamma_of") / F.col("v")).alias("p"))
         else:
             lower = model[k - 1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
             with_suffix = given.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)))
@@ -194,6 +204,11 @@ def to_arrays(model: dict[int, DataFrame]) -> dict[str, Arrays]:
 
 def log_perplexities(docs: DataFrame, model: dict[int, DataFrame], max_entries: int) -> DataFrame:
     """The rows of `docs` (doc_id, lang, text), counted: doc_id, lang, the five counts, log_ppl (null without words)."""
+    return _scored(docs, model, max_entries)[0]
+
+
+def _scored(docs: DataFrame, model: dict[int, DataFrame], max_entries: int) -> tuple[DataFrame, Broadcast | None]:
+    """The same, and the model where it was broadcast, to be given back when the rows are written."""
     spark = docs.sparkSession
     schema = f"doc_id long, lang string, {COUNTS}, log_ppl double"
     fits = sum(model[k].count() for k in model) <= max_entries
@@ -212,7 +227,7 @@ def log_perplexities(docs: DataFrame, model: dict[int, DataFrame], max_entries:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in schema.split(", ")])
 
     if fits:
-        return docs.select("doc_id", "lang", "text").mapInArrow(frugal(score), schema)
+        return docs.select("doc_id", "lang", "text").mapInArrow(frugal(score), schema), shared
 
     def parts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, at = TaskContext.get().partitionId() << 33, 0
@@ -227,7 +242,7 @@ def log_perplexities(docs: DataFrame, model: dict[int, DataFrame], max_entries:
     rows = materialize(docs.mapInPandas(parts, f"{schema}, row long, gram long, times long"), "document-grams")
     logs = rows.where("gram is not null").join(model[ORDER].select("lang", "gram", F.log("p").alias("l")), ["lang", "gram"]).groupBy("row").agg(F.sum(F.col("l") * F.col("times")).alias("total"))
     whole = rows.where("gram is null").drop("log_ppl", "gram").join(logs, "row", "left")
-    return whole.withColumn("log_ppl", -F.col("total") / F.col("n_words")).drop("row", "times", "total")
+    return whole.withColumn("log_ppl", -F.col("total") / F.col("n_words")).drop("row", "times", "total"), None
 
 
 def _typed(rows: list[tuple]) -> pd.DataFrame:
@@ -239,7 +254,7 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 5.0, least_width: float = 0.5, max_entries: int = 20_000_000) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fence: float = 5.0, least_width: float = 0.5, max_entries: int = 5_000_000) -> DataFrame:
     """Rows doc_id, lang, the five counts, log_ppl, base_failed, kept for every row.
 
     kept is false if the counts fail; else it says whether log_ppl lies in its language's band, from all rows of
@@ -250,14 +265,17 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     """
     prepare_workers(docs.sparkSession)
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = materialize(log_perplexities(named, fit(named), max_entries).withColumn("base_failed", base_failed()), "scored")
+    rows, shared = _scored(named, fit(named), max_entries)
+    scored = materialize(rows.withColumn("base_failed", base_failed()), "scored")
+    if shared is not None:
+        shared.destroy()
     passed = scored.where("not base_failed")
     bands = materialize(passed.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000).alias("q")), "bands")
-    small = bands.count() <= 10_000
+    small = bands.count() <= MAX_LANGUAGES
     below = (F.col("q")[1] - F.col("log_ppl")) * F.sqrt("n_words")
     spreads = passed.join(F.broadcast(bands) if small else bands, "lang").groupBy("lang").agg(F.percentile_approx(below, 0.75, 10_000).alias("s"))
     margin = F.greatest(F.lit(fence) * (F.col("q")[2] - F.col("q")[0]), F.lit(least_width))
-    bounds = materialize(bands.join(spreads, "lang").select("lang", F.col("q")[1].alias("mid"), "s", (F.col("q")[2] + margin).alias("upper")), "bounds")
+    bounds = materialize((F.broadcast(bands) if small else bands).join(spreads, "lang", "right").select("lang", F.col("q")[1].alias("mid"), "s", (F.col("q")[2] + margin).alias("upper")), "bounds")
     lower = F.col("mid") - F.greatest(F.lit(fence) * F.col("s") / F.sqrt(F.greatest("n_words", F.lit(1))), F.lit(least_width))
     judged = scored.join(F.broadcast(bounds) if small else bounds, "lang", "left").withColumn("lower", lower)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))

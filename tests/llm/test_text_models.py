@@ -86,6 +86,29 @@ def test_model_equals_definition_on_seen_and_unseen_text(spark):
     assert fast.keys() == slow.keys() and all(fast[i] == pytest.approx(slow[i]) == pytest.approx(-want(texts[i]) / len(texts[i].split())) for i in fast)
 
 
+def test_bands_equal_brute_force(spark):
+    draw = random.Random(12)
+    rows = [(i, "x" if i % 3 else "y", " ".join(draw.choice(["lo", "la", "li", "ke", "ki"]) * draw.randint(1, 3) for _ in range(draw.randint(40, 200))) + (" zqw" * 70 if i % 40 == 7 else "")) for i in range(240)]
+    found = perplexity.judge(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)).collect()
+    assert len(found) == len(rows)
+    models = {lang: brute_model([t for _, x, t in rows if x == lang]) for lang in "xy"}
+    texts = {i: (lang, t) for i, lang, t in rows}
+    for r in found[::12]:
+        lang, t = texts[r["doc_id"]]
+        assert r["log_ppl"] == pytest.approx(-models[lang](t) / len(t.split()))
+    for lang in "xy":
+        passed = [r for r in found if r["lang"] == lang and not r["base_failed"]]
+        values = sorted(r["log_ppl"] for r in passed)
+        at = lambda xs, q: xs[max(0, math.ceil(q * len(xs)) - 1)]
+        low, mid, high = (at(values, q) for q in (0.25, 0.5, 0.75))
+        spread = at(sorted((mid - r["log_ppl"]) * math.sqrt(r["n_words"]) for r in passed), 0.75)
+        for r in found:
+            if r["lang"] == lang:
+                inside = mid - max(5 * spread / math.sqrt(max(1, r["n_words"])), 0.5) <= r["log_ppl"] <= high + max(5 * (high - low), 0.5)
+                assert r["kept"] == (not r["base_failed"] and inside), r
+    assert any(not r["kept"] and not r["base_failed"] for r in found)
+
+
 def test_quality_edges(spark):
     words = " ".join(f"word{i}" for i in range(60))
     rows = [(1, words, "en"), (1, words, "en"), (None, None, None), (2, "", "en"), (3, "a b c " * 30, None), (4, "中" * 50 + " " + words, "zh")]
