@@ -43,9 +43,24 @@ def rule_interval(host: str) -> tuple[str, str]:
     return prefix, prefix[:-1] + "/"
 
 
+class _Host:
+    """The rules of one host whose interval is open, by path; an address looks up as many paths as there are lengths of them."""
+
+    def __init__(self, end: str):
+        self.end, self.rules, self.lengths = end, {}, []
+
+    def add(self, path: str, rule: str, verdict: str) -> None:
+        rank = (len(rule), verdict == "block", rule, verdict)
+        self.rules[path] = max(self.rules.get(path, rank), rank)
+        self.lengths = sorted({len(p) for p in self.rules}, reverse=True)
+
+    def best(self, path: str) -> tuple | None:
+        return next((self.rules[path[:n]] for n in self.lengths if n <= len(path) and path[:n] in self.rules), None)
+
+
 def _sweep(default: str):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack: list[tuple[str, str, str, str]] = []  # end of the interval, rule's path, rule, verdict
+        stack: list[_Host] = []
         part = None
         for frame in frames:
             rules, verdicts = [], []
@@ -53,13 +68,14 @@ def _sweep(default: str):
             for p, key, is_rule, path, end, rule, verdict in zip(frame["part"], frame["key"], frame["is_rule"], frame["path"], frame["end"], frame["rule"], frame["verdict"]):
                 if p != part:
                     part, stack = p, []
-                while stack and stack[-1][0].encode() <= key.encode():
+                while stack and stack[-1].end.encode() <= key.encode():
                     stack.pop()
                 if is_rule:
-                    stack.append((end, path, rule, verdict))
+                    if not stack or stack[-1].end != end:
+                        stack.append(_Host(end))
+                    stack[-1].add(path, rule, verdict)
                     continue
-                fits = [s for s in stack if path.startswith(s[1])]
-                best = max(fits, key=lambda s: (len(s[2]), s[3] == "block", s[2]), default=None)
+                best = max(filter(None, (h.best(path) for h in stack)), default=None)
                 rules.append(best[2] if best else None)
                 verdicts.append(best[3] if best else default)
             yield settled(frame.loc[addresses, ["page_id", "host", "path"]].assign(rule=pd.Series(rules, dtype=object).to_numpy(), verdict=verdicts))
@@ -75,8 +91,8 @@ def judge_urls(
     `rules` are (host, path, verdict) with a non-empty lower-case host. The longest fitting rule wins; of
     equally long ones a block wins, then the greater text. A null or malformed address has empty host and
     path, fits no rule and gets `default`. Repeated rows and ids are each judged; an empty table gives none.
-    Extra columns are ignored. A hot host is spread over ranges by its paths; only one address that
-    repeats without end stays in one range, and it is streamed, not held.
+    Extra columns are ignored. A hot host is spread over ranges by its paths, and one address that repeats (null and
+    malformed ones are alike) by a hash of the ids, which follows the key where ranges are cut. Very long addresses are kept whole.
     """
     prepare_workers(pages.sparkSession)
     for host, _, verdict in rules:
@@ -85,9 +101,10 @@ def judge_urls(
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("_url"))
     keyed = named.select("page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path")).withColumn("key", F.concat(host_key(F.col("host")), F.lit(" "), F.col("path")))
 
+    keyed = keyed.withColumn("cut", F.concat("key", F.lit("\x01"), F.lpad(F.hex(F.pmod(F.xxhash64("page_id"), F.lit(65_536))), 4, "0")))
     total = keyed.count()
     one_in = max(1, math.ceil(total / MAX_SAMPLE))
-    sample = sorted((r["key"] for r in keyed.where(F.pmod(F.xxhash64("key", "page_id"), F.lit(one_in)) == 0).select("key").limit(4 * MAX_SAMPLE).collect()), key=str.encode)
+    sample = sorted((r["cut"] for r in keyed.where(F.pmod(F.xxhash64("key", "page_id"), F.lit(one_in)) == 0).select("cut").limit(4 * MAX_SAMPLE).collect()), key=str.encode)
     ranges = max(min_ranges, math.ceil(total / rows_per_range))
     bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}, key=str.encode) if sample else []
     encoded = [b.encode() for b in bounds]
@@ -104,6 +121,6 @@ def judge_urls(
     def part_of(keys: pd.Series) -> pd.Series:
         return keys.map(lambda k: bisect_right(encoded, k.encode())).astype("int32")
 
-    both = keyed.withColumns({"part": part_of("key"), "is_rule": F.lit(0)}).unionByName(as_rows, allowMissingColumns=True)
+    both = keyed.withColumns({"part": part_of("cut"), "is_rule": F.lit(0)}).drop("cut").unionByName(as_rows, allowMissingColumns=True)
     swept = both.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "key", F.desc("is_rule"), F.desc("end"))
     return swept.mapInPandas(_sweep(default), "page_id long, host string, path string, rule string, verdict string")

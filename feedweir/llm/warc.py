@@ -1,8 +1,8 @@
 """A deterministic, sharded writer of web archives (WARC 1.1), and a reader.
 
-Shard bounds come from a histogram of payload bytes over the record ids, so they depend on the rows
-alone. Rows are range-sorted by shard and id; a task writes the shards it holds one after the other, each
-record a gzip member of its own, and rolls to a new file when the compressed size reaches the limit.
+Shard bounds come from the running sum of payload bytes over the sorted ids, so they depend on the rows
+alone. Rows are dealt by shard, one a task, and sorted by id; a task writes each
+record as a gzip member of its own, and rolls to a new file when the compressed size reaches the limit.
 Files are written under temporary names and renamed, so that a lost or repeated task leaves the same
 bytes; the manifest table, written last, lists the files that count.
 """
@@ -16,10 +16,11 @@ import zlib
 from collections.abc import Iterable, Iterator
 from io import BytesIO
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedweir.llm.common import materialize, new_dir, salted_lookup, settled, prepare_workers
@@ -28,12 +29,12 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:web-archive-records")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-#: Cells of the histogram that the driver reads to set shard bounds.
-CELLS = 4096
+#: Where null ids are sorted.
+LEAST = -(1 << 63)
 
 
 def _one_line(text: str) -> str:
-    """Header values can't hold line ends or NUL; they become %-codes, and so do percent signs before them."""
+    """Header values can't hold line ends or other control characters; they become %-codes."""
     return "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in text)
 
 
@@ -126,6 +127,25 @@ def _write(where: str, limit: int, date: str):
     return run
 
 
+def _shard_bounds(keys: DataFrame, min_shards: int, shard_bytes: int) -> np.ndarray:
+    """The first id of every shard but the first, so that shards weigh alike: from the exact running sum of bytes over
+    the sorted ids, whatever their gaps. A null id is the least. The driver gets a row a shard."""
+    weighed = keys.groupBy(F.coalesce("page_id", F.lit(LEAST)).alias("id")).agg(F.sum(F.col("bytes") + 400).alias("w"))
+    ranged = materialize(weighed.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()), "ids")
+    parts = {r["part"]: r["w"] for r in ranged.groupBy("part").agg(F.sum("w").alias("w")).collect()}  # a row a partition
+    total = sum(parts.values())
+    shards = max(min_shards, -(-total // shard_bytes))
+    base, before = {}, 0
+    for part in sorted(parts):
+        base[part], before = before, before + parts[part]
+    bases = keys.sparkSession.createDataFrame(list(base.items()), "part int, base long")
+    running = F.sum("w").over(Window.partitionBy("part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = ranged.join(F.broadcast(bases), "part").withColumn("middle", F.col("base") + running - F.floor(F.col("w") / 2))
+    shard = F.least(F.lit(shards - 1), F.floor(F.col("middle") * shards / F.lit(max(1, total))))
+    firsts = summed.groupBy(shard.alias("shard")).agg(F.min("id").alias("id")).orderBy("shard").collect()
+    return np.array([r["id"] for r in firsts][1:], np.int64)
+
+
 def write_archives(
     pages: DataFrame, where: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 1000, shard_bytes: int = 256 << 20, file_bytes: int = 64 << 20, min_shards: int = 12, date: str = "2000-01-01T00:00:00Z"
 ) -> DataFrame:
@@ -134,7 +154,7 @@ def write_archives(
     Payload: the text in UTF-8, a null as no bytes. Among rows with equal payloads of at least
     `min_revisit_bytes` bytes, those with the greatest id are responses, the others revisits of it; a null id
     counts as the least. Repeated rows give repeated records. Null or strange addresses are kept with control
-    characters as %-codes. An empty table writes no file and an empty manifest. Extra columns are ignored.
+    characters as %-codes. Very long pages are records like any. An empty table writes no file and an empty manifest. Extra columns are ignored.
     """
     spark = pages.sparkSession
     prepare_workers(spark)
@@ -146,21 +166,15 @@ def write_archives(
     copies = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     notes = salted_lookup(large, copies, ["digest"]).where("refers_to is not null and not (page_id <=> refers_to)").select("page_id", "digest", "refers_to").distinct()
 
-    low, high, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
-    shards = max(min_shards, -(-(total or 0) // shard_bytes))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // CELLS))
-    cell = F.coalesce(F.floor((F.col("page_id") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("int")
-    weights = sorted((r["cell"], r["w"]) for r in keys.groupBy(cell.alias("cell")).agg(F.sum(F.col("bytes") + 400).alias("w")).collect())  # at most CELLS + 1 rows
-    whole, before, shard_of = sum(w for _, w in weights), 0, {}
-    for c, w in weights:
-        shard_of[c] = min(shards - 1, (before + w // 2) * shards // max(1, whole))
-        before += w
-    # the cell at which each shard begins
-    begins = sorted({s: c for c, s in sorted(shard_of.items(), reverse=True)}.values())[1:]
-    shard = sum((F.when(cell >= F.lit(c), 1).otherwise(0) for c in begins), F.lit(0)) if len(begins) < 64 else F.size(F.filter(F.array(*map(F.lit, begins)), lambda c: c <= cell))
-
-    union = sized.withColumn("is_note", F.lit(False)).unionByName(notes.withColumn("is_note", F.lit(True)), allowMissingColumns=True).withColumn("shard", shard.cast("int"))
-    dealt = union.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", F.desc("is_note"), "url")
+    bounds = _shard_bounds(keys, min_shards, shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right").astype("int32"), index=ids.index)
+
+    shards = len(bounds) + 1
+    union = sized.withColumn("is_note", F.lit(False)).unionByName(notes.withColumn("is_note", F.lit(True)), allowMissingColumns=True).withColumn("shard", shard_of(F.coalesce("page_id", F.lit(LEAST))))
+    dealt = union.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.desc("is_note"), "url")
     manifest = dealt.select("shard", "page_id", "url", "payload", "digest", "refers_to", "is_note").mapInArrow(_write(where, file_bytes, date), MANIFEST)
     manifest.write.parquet(f"{where}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{where}/_manifest")
