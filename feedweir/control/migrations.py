@@ -46,3 +46,25 @@ def migrate(store: Store, steps: dict[str, Step], now) -> list[str]:
         return ran
     finally:
         lock.unlink()
+
+
+# The steps of this version, run in the order of their names.
+
+
+def identity(store: Store) -> None:
+    """Accounts have a key of their own before the first one registers: every control table exists in a commit."""
+    store.commit({t: {} for t in ("merchants", "users", "refresh_tokens")})
+
+
+def imports(store: Store) -> None:
+    """Imports that an older version left without the number of lines read go on from their header."""
+    late = {k: r | {"lines_read": 1} for k, r in store.records("imports").items() if r.get("bytes_processed") and "lines_read" not in r}
+    store.commit({"imports": late})
+
+
+def folders(store: Store) -> None:
+    """Remains of crashed writers go."""
+    store.vacuum()
+
+
+STEPS: dict[str, Step] = {"0001_identity": identity, "0002_imports": imports, "0003_folders": folders}
