@@ -143,17 +143,19 @@ ds as (select doc_id, pos, mask, list_transform(mask, lambda k: w[pos + k + 1])
 bs as (select item_id, pos, mask, list_transform(mask, lambda k: w[pos + k + 1]) as seed from bp, m),
 hit as (select distinct ds.doc_id, bs.item_id, ds.pos - bs.pos as shift from ds join bs on ds.mask = bs.mask and ds.seed = bs.seed),
 tok as (
-  select h.doc_id, h.item_id, h.shift, len(b.w) as n, j, case when d.w[h.shift + j + 1] = b.w[j + 1] then 1 else -2 end as point
+  select h.doc_id, h.item_id, h.shift, len(b.w) as n, j, d.w[h.shift + j + 1] = b.w[j + 1] as same
   from hit h join d on d.doc_id = h.doc_id join b on b.item_id = h.item_id, unnest(range(0, len(b.w))) as u(j)
   where h.shift + j >= 0 and h.shift + j < len(d.w)),
-run as (select *, sum(point) over (partition by doc_id, item_id, shift order by j) as total from tok),
-low as (select *, least(0, coalesce(min(total) over (partition by doc_id, item_id, shift order by j rows between unbounded preceding and 1 preceding), 0)) as floor from run),
+run as (select *, sum(case when same then 1 else -2 end) over o as total, sum(case when same then 2 else -1 end) over o as halves from tok window o as (partition by doc_id, item_id, shift order by j)),
+low as (
+  select *, least(0, coalesce(min(total) over o, 0)) as floor, least(0, coalesce(min(halves) over o, 0)) as halves_floor
+  from run window o as (partition by doc_id, item_id, shift order by j rows between unbounded preceding and 1 preceding)),
 best as (
-  select doc_id, item_id, n, max(total - floor) as score from low where n >= 10 group by doc_id, item_id, shift, n
-  union all select d.doc_id, b.item_id, len(b.w), len(b.w) from d join b on contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')
+  select doc_id, item_id, n, max(total - floor) as score, max(halves - halves_floor) as halves from low where n >= 10 group by doc_id, item_id, shift, n
+  union all select d.doc_id, b.item_id, len(b.w), len(b.w), 0 from d join b on contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')
   where len(b.w) between 1 and 9)
 select doc_id, item_id, cast(max(score) as bigint) as score, cast(max(n) as bigint) as item_words from best
-where score >= least(13, ceil(0.6 * n)) group by doc_id, item_id
+where score >= least(13, ceil(0.6 * n)) or halves >= greatest(15, least(26, n)) group by doc_id, item_id
 """
 
 

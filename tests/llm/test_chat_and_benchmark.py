@@ -140,3 +140,25 @@ def test_queries_equal_sql_on_the_smallest_tables(spark):
         at = [found.columns.index(c) for c in frame.columns]
         assert sorted(map(repr, (tuple(r) for r in frame.collect()))) == sorted(repr(tuple(r[i] for i in at)) for r in found.fetchall()), name
     assert hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_overlap_sql_states_the_rule_of_the_query(spark):
+    """On planted items with substituted words and short ones, which the given tables lack."""
+    import duckdb
+    import pandas as pd
+
+    from feedweir.llm import queries
+
+    docs, items = planted(3)
+    draw = random.Random(9)
+    for d in range(40, 90):
+        words = draw.choice(items)[1].split()
+        docs.append((d, "so " + " ".join("zz" if draw.random() < 0.22 else w for w in words) + " end"))
+    items += [(50, "w1 w2"), (51, docs[1][1].split(", ")[0])]
+    documents, benchmark = pd.DataFrame(docs, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    want = sorted((d or -1, i or -1, s, n) for d, i, s, n in con.sql(queries.oracle_sql()["op10_decontamination"]).fetchall())
+    strict = overlaps(spark, docs, items)
+    assert overlaps(spark, docs, items, near=True) == want and len(want) > len(strict)
