@@ -157,7 +157,8 @@ class Imports:
                 return Outcome("paused", current)
             if byte >= record["size_bytes"]:
                 return Outcome("completed", current)
-            rows = delimited.read_records(spark, path, startByte=byte, startRow=record["rows_read"], startLine=line, maxBytes=window, splitBytes=self.config.split_bytes).persist()
+            split = min(self.config.split_bytes, max(1 << 20, min(window, record["size_bytes"] - byte) // (2 * spark.sparkContext.defaultParallelism)))  # work for all cores
+            rows = delimited.read_records(spark, path, startByte=byte, startRow=record["rows_read"], startLine=line, maxBytes=window, splitBytes=split).persist()
             try:
                 step = self._window(record, header, rows, window)
             finally:
