@@ -191,11 +191,12 @@ class Imports:
 
     def _merge_window(self, record: dict, header: list[str], end: int, line: int, checked: DataFrame, valid: DataFrame, broken: DataFrame) -> tuple[dict, int]:
         merchant, now = record["merchant_id"], self.clock()
-        stored = self.store.table("products", merchant)
+        before = self.store.folders("products").get(merchant, [])
+        stored = self.store.resolved(before)
         incoming = valid.withColumn("merchant_id", F.lit(merchant))
         tally = merge.batch_tally(incoming, self.config.batch_rows, stored, ["merchant_id"]).agg(F.sum("applied"), F.sum("superseded")).first()
         merged = merge.merge_fresh(stored, merge.latest_wins(incoming, ["merchant_id", "sku"]), ["merchant_id", "sku"], stamp={"ingested_at": F.lit(now), "last_import_id": F.lit(record["id"])})
-        products = self.store.write_folder("products", merged.drop("applied"))
+        after = self.store.layered(before, merged.where("applied").drop("applied"))
         log = self.store.table("import_rejections", record["id"])
         unparseable = rejections.number_unparseable(broken, rejections.least_negative(log).first()[0])
         refused = validation.rejections(checked, "row_number", "line_number", raw_line=F.col("raw_line")).unionByName(unparseable).withColumn("import_id", F.lit(record["id"]))
@@ -215,7 +216,9 @@ class Imports:
                 "rows_applied": newest["rows_applied"] + (tally[0] or 0), "rows_superseded": newest["rows_superseded"] + (tally[1] or 0),
                 "rows_rejected": newest["rows_rejected"] + counts[1] + n_broken, "rows_unparseable": newest["rows_unparseable"] + n_broken,
             }
-            if self._put(new, expect, replace={"products": {merchant: [products]}}, append=append):
+            if self.store.folders("products").get(merchant, []) != before:
+                raise Conflict("another import of the merchant came between")
+            if self._put(new, expect, replace={"products": {merchant: after}}, append=append):
                 return new, line
 
     def process_next(self, should_stop: Callable[[], bool] = lambda: False, on_window: Callable[[dict], None] | None = None) -> bool:
@@ -231,6 +234,8 @@ class Imports:
             outcome = self.run(job, should_stop, on_window)
         except delimited.UnusableFile as e:
             self.finish(job["id"], "failed", str(e))
+        except Conflict as e:  # nothing is wrong with the file: its turn comes again
+            self._change(job["id"], lambda r: r | {"locked_by": None, "lease_expires_at": None, "error": str(e), "attempts": r["attempts"] - 1} if r["status"] == "processing" and r["locked_by"] == self.worker else None)
         except Exception as e:
             if job["attempts"] >= self.config.max_attempts:
                 self.finish(job["id"], "failed", f"After {job['attempts']} attempts: {e}")

@@ -74,6 +74,37 @@ def test_windows_pause_and_resume_give_the_same_tally(setup, tmp_path):
     assert sorted(map(tuple, store.table("products", "whole").select(*keys).collect())) == sorted(map(tuple, store.table("products", "parts").select(*keys).collect()))
 
 
+def test_products_are_written_in_few_layers(setup, monkeypatch):
+    """Windows add layers that swallow each other by weight; the table is that of one merge, whatever the layers."""
+    store, imports, clock = setup
+    at = lambda i: f"2025-03-{1 + i % 28:02}T{i % 24:02}:00:00Z"
+    rows = [f"S{(i * 7) % 60},n{i},c,{i}.00,USD,1,{at(i * 5)}\n" for i in range(600)]
+    small = Imports(store, Config(batch_rows=50, window_bytes=2_200, **SECRETS), imports.folder, clock)
+    record, _ = send(small, HEAD + "".join(rows), "layers")
+    counts = []
+    small.process_next(on_window=lambda r: counts.append(len(store.folders("products")["layers"])))
+    assert len(counts) >= 8 and max(counts) <= 4 and store.folders("products")["layers"][0].startswith("products/w8-")
+    send(imports, HEAD + "".join(rows), "whole")
+    imports.process_next()
+    found = [sorted(map(tuple, store.table("products", m).select("sku", "name", "updated_at").collect())) for m in ("layers", "whole")]
+    assert found[0] == found[1] and len(found[0]) == 60
+    # another import of the merchant commits between reading and writing: nothing is lost, the import comes again
+    one, _ = send(imports, HEAD + "S1,late,c,1.00,USD,1,2026-01-01T00:00:00Z\n", "whole")
+    layered = Store.layered
+
+    def overtaken(self, before, fresh):
+        after = layered(self, before, fresh)
+        self.commit(replace={"products": {"whole": [*before, store.write_folder("products", store.table("products", "layers").limit(1).replace("layers", "whole", "merchant_id"))]}})
+        return after
+
+    monkeypatch.setattr(Store, "layered", overtaken)
+    imports.process_next()
+    assert imports.get(one["id"])["status"] == "processing" and "came between" in imports.get(one["id"])["error"] and imports.get(one["id"])["attempts"] == 0
+    monkeypatch.setattr(Store, "layered", layered)
+    imports.process_next()
+    assert imports.get(one["id"])["status"] == "completed" and store.table("products", "whole").where("name = 'late'").count() == 1
+
+
 def test_unusable_files_missing_files_and_retries(setup, tmp_path):
     store, imports, clock = setup
     bad, _ = send(imports, "sku,name\nA,n\n")
