@@ -37,8 +37,8 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8665
 #: Nodes of classes without an id lie from here on.
 NO_ID = 1 << 62
 SEVERAL = 0
-#: Rows of a table by list that are broadcast (of hubs, about 100 bytes each).
-MAX_KEYS = 200_000
+#: Members beyond which a list is hot, and so many tasks that share it.
+HOT, SALTS = 2000, 16
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -348,18 +348,17 @@ def _open(entries: DataFrame) -> DataFrame:
 
     Sets that share a passage, but have more than a ninth of their own before it, close their list here."""
     least = F.min(F.when(_smaller(), F.col("n")))
-    several = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), least.alias("least"), F.max("most").alias("reach"))
-    return _with_key(entries, several.where("low <> high and least <= reach").select("key"))
+    several = entries.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), least.alias("least"), F.max("most").alias("reach"), F.count("*").alias("members"))
+    lists = materialize(several.where("low <> high and least <= reach").select("key", "members"), "open-lists")
+    hot = few(lists.where(F.col("members") > HOT).select("key", F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0)
+    marked = entries.drop("salt").join(hot, "key", "left").withColumn("salt", salt).drop("hot")
+    return marked.join(lists.select("key", _salts(F.col("members") > HOT)), ["key", "salt"], "left_semi")
 
 
-def _with_key(entries: DataFrame, per_key: DataFrame, salts: int = 16) -> DataFrame:
-    """Inner join to a table by list, in which a key has a few rows: broadcast if it is counted to be small, else each list spread
-    over `salts` tasks."""
-    per_key = materialize(per_key, "by-list")
-    if per_key.count() <= MAX_KEYS:
-        return entries.join(F.broadcast(per_key), "key")
-    salted = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return entries.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["key", "_salt"]).drop("_salt")
+def _salts(hot: Column) -> Column:
+    """The salts of a list: all, if it is hot."""
+    return F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
 
 
 def _hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
@@ -368,8 +367,9 @@ def _hub_pairs(entries: DataFrame, turn: int) -> DataFrame:
     any_one = F.xxhash64(F.lit(turn), "node").alias("h")
     central, other = F.min(F.struct("lonely", any_one, *(c for c in about if c != "lonely"))), F.min(F.struct(any_one, *about))
     hubs = entries.where(_smaller()).groupBy("key").agg(central.alias("c"), other.alias("o"))
-    hubs = hubs.select("key", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in about]) for x in "co"]))).alias("hub"))
-    met = _with_key(entries, hubs).where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
+    salted = entries.groupBy("key").agg(F.max("salt").alias("top")).select("key", _salts(F.col("top") > 0))
+    hubs = hubs.join(salted, "key").select("key", "salt", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{x}.{c}").alias(c) for c in about]) for x in "co"]))).alias("hub"))
+    met = entries.join(hubs, ["key", "salt"]).where((F.col("component") != F.col("hub.component")) & _may_link("", "hub."))
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
