@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 import pytest
 
+from feedweir.llm import common
+
 
 @pytest.fixture
 def folder(spark, tmp_path):
@@ -44,3 +46,24 @@ def test_empty_corpus(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).collect() == []
+
+
+def test_the_driver_gives_freed_memory_back(spark):
+    """Native memory that the JVM has freed in pieces, as after many queries, doesn't stay with the driver."""
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+    resident = lambda: next(int(x.split()[1]) >> 10 for x in open(status) if x.startswith("VmRSS"))
+    data, out = (spark.sparkContext._gateway.new_array(jvm.byte, 1 << 16) for _ in range(2))
+    held = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # each takes a quarter of a megabyte outside the heap
+    for x in held:
+        x.setInput(data)
+        x.deflate(out)
+    for i, x in enumerate(held):
+        if i % 20:  # what stays in between keeps the rest from going back by itself
+            x.end()
+    before = resident()
+    common.materialize(spark.range(10), "small")
+    after = resident()
+    for x in held[::20]:
+        x.end()
+    assert after < before - 50
